@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from downfield.llm import decontaminate, quality, simple8b
+from downfield.llm import decontaminate, html_text, quality, simple8b
 from downfield.llm.shared import table
 
 
@@ -15,6 +15,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), decontaminate.items_digest().alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.quality(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -28,4 +32,4 @@ def op10_token_ids(spark: SparkSession, sf_dir: str, tokenizer: str | None = Non
     return simple8b.token_table(table(spark, sf_dir, "documents"), tokenizer).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op9_quality_rules, op10_token_ids)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op8_html_extraction, op9_quality_rules, op10_token_ids)}
