@@ -22,3 +22,33 @@ items as (select r, count(distinct item_id) n_items, string_agg(distinct item_id
 select doc_id, len(w) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, sha256(coalesce(ids, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
 from doc left join places using (r) left join items using (r)
 """
+
+#: kind -> pattern, the group whose length counts, the least length; as the secret scan has them.
+_SECRETS = {
+    "assign": (r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 1, 8),
+    "access": (r"AKIA[A-Z0-9]+", 0, 16),
+    "hex": (r"[0-9a-f]+", 0, 32),
+    "private_key": (r"-----BEGIN (?:[A-Z0-9]{1,20} ){0,3}PRIVATE KEY-----", 0, 0),
+    "jwt": (r"eyJ[A-Za-z0-9_-]{8,1000}\.[A-Za-z0-9_-]{8,1000}\.[A-Za-z0-9_-]{8,1000}", 0, 0),
+    "vendor_token": (r"(?:gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,72}|sk_live_[0-9A-Za-z]{24}|AIza[0-9A-Za-z_-]{35})", 0, 0),
+    "url_password": (r"[a-z][a-z0-9+.-]{1,15}://[^\s:/@]{1,64}:([^\s:/@]{3,64})@", 0, 0),
+}
+
+
+def _secret_spans(rank: int, kind: str) -> str:
+    pattern, group, least = _SECRETS[kind]
+    return f"""select r, {rank} rank, '{kind}' kind, s, s + length(v) e from (
+      select r, v, g, list_sum(list_transform(p[:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[:i - 1], lambda x: length(x))), 0) s
+      from (select r, p, m, unnest(m) v, unnest(g) g, unnest(range(1, len(m) + 1)) i from (
+        select r, string_split_regex(text, '{pattern}') p, regexp_extract_all(text, '{pattern}') m, regexp_extract_all(text, '{pattern}', {group}) g from doc)))
+      where length(g) >= {least}"""
+
+
+SQL["op3_secret_scans"] = f"""
+with doc as (select row_number() over () r, doc_id, coalesce(text, '') as text from documents),
+span as ({" union all ".join(_secret_spans(i, k) for i, k in enumerate(_SECRETS))}),
+found as (select r, count(*) filter (kind = 'assign') n_assign, count(*) filter (kind = 'access') n_access, count(*) filter (kind = 'hex') n_hex,
+  string_agg(concat(kind, ':', s, ':', e), ',' order by s, rank) filter (rank < 3) base, string_agg(concat(kind, ':', s, ':', e), ',' order by s, rank) spans from span group by r)
+select doc_id, coalesce(n_assign, 0) n_assign, coalesce(n_access, 0) n_access, coalesce(n_hex, 0) n_hex, sha256(coalesce(base, '')) base_sha256, coalesce(spans, '') spans
+from doc left join found using (r)
+"""
