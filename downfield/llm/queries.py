@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from downfield.llm import decontaminate, html_text, quality, secrets, simple8b
+from downfield.llm import decontaminate, html_text, pii, quality, secrets, simple8b
 from downfield.llm.shared import table
 
 
@@ -19,6 +19,10 @@ def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan_paths(table(spark, sf_dir, "documents")))
 
 
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.detect(table(spark, sf_dir, "documents")))
+
+
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
@@ -36,4 +40,4 @@ def op10_token_ids(spark: SparkSession, sf_dir: str, tokenizer: str | None = Non
     return simple8b.token_table(table(spark, sf_dir, "documents"), tokenizer).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op3_secret_scans, op8_html_extraction, op9_quality_rules, op10_token_ids)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op3_secret_scans, op5_personal_data, op8_html_extraction, op9_quality_rules, op10_token_ids)}
