@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from downfield.llm import decontaminate, html_text, pii, quality, secrets, simple8b
+from downfield.llm import decontaminate, html_text, pieces, pii, quality, secrets, simple8b
 from downfield.llm.shared import table
 
 
@@ -19,6 +19,17 @@ def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan_paths(table(spark, sf_dir, "documents")))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
+    if model is None:
+        import public_tokenizers
+
+        model = public_tokenizers.path("piece_bpe_32k.model")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = pieces.decode(pieces.encode(docs, model), model)
+    same = F.col("decoded") == F.translate(F.coalesce("text", F.lit("")), pieces.SPACE, " ")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", same.alias("round_trip"))
+
+
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.detect(table(spark, sf_dir, "documents")))
 
@@ -40,4 +51,4 @@ def op10_token_ids(spark: SparkSession, sf_dir: str, tokenizer: str | None = Non
     return simple8b.token_table(table(spark, sf_dir, "documents"), tokenizer).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op3_secret_scans, op5_personal_data, op8_html_extraction, op9_quality_rules, op10_token_ids)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op3_secret_scans, op4_sentencepiece, op5_personal_data, op8_html_extraction, op9_quality_rules, op10_token_ids)}
