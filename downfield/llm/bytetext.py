@@ -43,6 +43,10 @@ def _powers(base: int, n: int) -> np.ndarray:
     return got[:n]
 
 
+def powers(n: int, inverse: bool = False) -> np.ndarray:
+    return _powers(_PINV if inverse else _P, n)
+
+
 def strings(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes and the offsets of a string column; a null is an empty text."""
     if isinstance(column, pa.ChunkedArray):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from downfield.llm import decontaminate, html_text, pieces, pii, quality, secrets, simple8b
+from downfield.llm import decontaminate, html_text, pieces, pii, quality, secrets, simple8b, toxicity
 from downfield.llm.shared import table
 
 
@@ -15,6 +15,12 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), decontaminate.items_digest().alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", F.coalesce(toxicity.held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= toxicity.REJECT).cast("int").alias("predicted"))
+
+
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan_paths(table(spark, sf_dir, "documents")))
 
@@ -51,4 +57,4 @@ def op10_token_ids(spark: SparkSession, sf_dir: str, tokenizer: str | None = Non
     return simple8b.token_table(table(spark, sf_dir, "documents"), tokenizer).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op3_secret_scans, op4_sentencepiece, op5_personal_data, op8_html_extraction, op9_quality_rules, op10_token_ids)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_toxicity, op3_secret_scans, op4_sentencepiece, op5_personal_data, op8_html_extraction, op9_quality_rules, op10_token_ids)}
