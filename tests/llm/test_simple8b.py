@@ -58,3 +58,14 @@ def test_a_document_over_several_blocks(spark):
 
 def test_empty(spark):
     assert S.token_table(X.empty(spark), P.path("word_bpe_49k.json")).count() == 0
+
+
+def test_encoder_on_odd_texts():
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    t, e = Tokenizer.from_file(path), S.Encoder.at(path)
+    odd = ["naïve Straße İstanbul ’s «x» 12½ it'S ''s we'll\x85a\xa0b\x1cc", "x ́y", "é", "漢字 and", "ŉ ǆ K µ", "don''t've", "", "<|startoftext|>a", "ΣΣ ΣαΣ", "a b c"]
+    for texts in (odd, odd[::-1], X.AWKWARD[1:]):
+        for text, got in zip(texts, e.encode(texts)):
+            assert got == np.array(t.encode(text, add_special_tokens=False).ids, np.uint32).tobytes(), text
