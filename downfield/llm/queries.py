@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from downfield.llm import decontaminate, html_text, pieces, pii, quality, secrets, simple8b, toxicity
+from downfield.llm import decontaminate, html_text, ngram_join, pieces, pii, quality, secrets, simple8b, toxicity
 from downfield.llm.shared import table
 
 
@@ -40,6 +40,10 @@ def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.detect(table(spark, sf_dir, "documents")))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_components(table(spark, sf_dir, "documents"))
+
+
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
@@ -57,4 +61,4 @@ def op10_token_ids(spark: SparkSession, sf_dir: str, tokenizer: str | None = Non
     return simple8b.token_table(table(spark, sf_dir, "documents"), tokenizer).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_toxicity, op3_secret_scans, op4_sentencepiece, op5_personal_data, op8_html_extraction, op9_quality_rules, op10_token_ids)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_toxicity, op3_secret_scans, op4_sentencepiece, op5_personal_data, op7_ngram_join, op8_html_extraction, op9_quality_rules, op10_token_ids)}
