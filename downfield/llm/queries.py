@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from downfield.llm import decontaminate, html_text, ngram_join, pieces, pii, quality, secrets, simple8b, toxicity
+from downfield.llm import decontaminate, html_text, line_dedup, ngram_join, pieces, pii, quality, secrets, simple8b, toxicity
 from downfield.llm.shared import table
 
 
@@ -40,6 +40,11 @@ def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.detect(table(spark, sf_dir, "documents")))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.decisions(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.size("dropped").cast("long").alias("n_dropped"), "dropped")
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_components(table(spark, sf_dir, "documents"))
 
@@ -61,4 +66,4 @@ def op10_token_ids(spark: SparkSession, sf_dir: str, tokenizer: str | None = Non
     return simple8b.token_table(table(spark, sf_dir, "documents"), tokenizer).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_toxicity, op3_secret_scans, op4_sentencepiece, op5_personal_data, op7_ngram_join, op8_html_extraction, op9_quality_rules, op10_token_ids)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_toxicity, op3_secret_scans, op4_sentencepiece, op5_personal_data, op6_line_dedup, op7_ngram_join, op8_html_extraction, op9_quality_rules, op10_token_ids)}
