@@ -52,3 +52,44 @@ found as (select r, count(*) filter (kind = 'assign') n_assign, count(*) filter
 select doc_id, coalesce(n_assign, 0) n_assign, coalesce(n_access, 0) n_access, coalesce(n_hex, 0) n_hex, sha256(coalesce(base, '')) base_sha256, coalesce(spans, '') spans
 from doc left join found using (r)
 """
+
+SQL["op7_ngram_join"] = r"""
+with recursive doc as (
+  select row_number() over () r, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) w from documents),
+shingle as (
+  select distinct r, array_to_string(w[k:k + 4], ' ') || chr(10) || least(len(w), 5) g
+  from (select r, w, unnest(range(1, greatest(len(w) - 5, 0) + 2)) k from doc where len(w) > 0)),
+size as (select r, count(*) n from shingle group by r),
+link as (
+  select a, b from (select x.r a, y.r b, count(*) c from shingle x join shingle y using (g) where x.r <> y.r group by all)
+  join size s on s.r = a join size t on t.r = b where 100 * c >= 75 * (s.n + t.n - c)),
+reach as (select r a, r b from doc union select reach.a, link.b from reach join link on reach.b = link.a)
+select any_value(d.doc_id) doc_id, any_value(coalesce(n, 0)) n_shingles, min(o.doc_id) component_id
+from reach join doc d on d.r = a join doc o on o.r = b left join size s on s.r = a group by a
+"""
+
+#: rule -> (condition of failure, limit of a host's shrunk rate), as the operator has them.
+_RULES = {
+    "base": ("base_failed", 0.5),
+    "symbols": ("n_words > 0 and n_symbols > n_words", 0.8),
+    "lines": ("n_lines > 0 and 2 * n_dup_lines > n_lines", 0.8),
+    "length": ("n_words > 0 and (word_chars < 2 * n_words or word_chars > 20 * n_words)", 0.8),
+}
+_WEIGHT = "case when v_{0} <= 0 or m_{0} <= 0 or m_{0} >= 1 then 1000.0 else least(greatest(m_{0} * (1 - m_{0}) / v_{0} - 1, 1.0), 1000.0) end"
+
+SQL["op9_quality_rules"] = rf"""
+with doc as (select row_number() over () r, doc_id, source, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w from documents),
+win as (select r, k, array_to_string(w[k:k + 4], ' ') g from (select r, w, unnest(range(1, len(w) - 3)) k from doc where len(w) >= 5)),
+again as (select r, count(distinct p) n from (select r, unnest(range(k, k + 5)) p from (select r, k, count(*) over (partition by r, g) c from win) where c > 1) group by r),
+line as (select r, count(*) n, count(distinct l) d from (select r, unnest(string_split(text, chr(10))) l from doc) where regexp_matches(l, '[^\x20\x09-\x0D]') group by r),
+counts as (
+  select r, doc_id, source, len(w) n_words, length(array_to_string(w, '')) word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) n_symbols,
+    coalesce(line.n, 0) n_lines, coalesce(line.n - line.d, 0) n_dup_lines, coalesce(again.n, 0) n_repeat_words
+  from doc left join line using (r) left join again using (r)),
+measured as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words base_failed from counts),
+host as (select source, count(*) n, {", ".join(f"sum(({c})::int) f_{k}" for k, (c, _) in _RULES.items())} from measured group by source),
+moment as (select {", ".join(f"coalesce(avg(f_{k} / n) filter (n >= 20), 0) m_{k}, coalesce(var_pop(f_{k} / n) filter (n >= 20), 0) v_{k}" for k in _RULES)} from host),
+verdict as (select source s, n >= 20 and ({" or ".join(f"(f_{k} + m_{k} * {_WEIGHT.format(k)}) / (n + {_WEIGHT.format(k)}) > {limit}" for k, (_, limit) in _RULES.items())}) rejected from host, moment)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not rejected kept
+from measured join verdict on source is not distinct from s
+"""
