@@ -34,7 +34,7 @@ START = END = ("", 0)
 class Model:
     """A SentencePiece model file with the parts of it that the lattice needs."""
 
-    CACHE = 400_000
+    CACHE = 200_000
     _open: dict[str, "Model"] = {}
 
     @classmethod
@@ -165,6 +165,13 @@ class Model:
         return out[1:] if out.startswith(" ") else out
 
 
+def few(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of so many rows, so that the Python objects of a slice stay few."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def parts(text: str) -> list[str]:
     """Space-separated parts, each with the spaces before it but one, which is the one that the library puts in front."""
     if not text:
@@ -254,10 +261,6 @@ def _lattice_text(r: dict) -> tuple[str, int, int]:
     return text.replace(" ", SPACE), b, e
 
 
-def _literal(x) -> str:
-    return repr(x)
-
-
 def _encode_long(docs: DataFrame, path: str, size: int) -> DataFrame:
     """rid and ids of each long text (rid, text)."""
     from ast import literal_eval
@@ -267,7 +270,7 @@ def _encode_long(docs: DataFrame, path: str, size: int) -> DataFrame:
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model.at(path)
-        for batch in batches:
+        for batch in few(batches, 32):
             rows = batch.to_pylist()
             made = [repr(model.transfer(*_lattice_text(r), r["first"], r["last"])) for r in rows]
             yield pa.record_batch({"rid": pa.array([r["rid"] for r in rows], pa.int64()), "chunk": pa.array([r["chunk"] for r in rows], pa.int32()), "run": pa.array([r["run"] for r in rows], pa.int32()), "matrix": pa.array(made, pa.string())})
@@ -287,7 +290,7 @@ def _encode_long(docs: DataFrame, path: str, size: int) -> DataFrame:
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model.at(path)
-        for batch in batches:
+        for batch in few(batches, 32):
             out = []
             for r in batch.to_pylist():
                 if r["s_piece"] is None:  # no cut at either end: one state there, and the library goes between
@@ -306,33 +309,40 @@ def _encode_long(docs: DataFrame, path: str, size: int) -> DataFrame:
     return traced.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("chunk", "ids"))).alias("parts")).select("rid", F.expr("aggregate(parts, x'', (a, p) -> concat(a, p.ids))").alias("ids"))
 
 
-def encode(docs: DataFrame, model: str, text: str = "text", ids: str = "ids", chunk: int = CHUNK) -> DataFrame:
-    """The columns of ``docs`` and the ids of each whole text as an array of integers (a column of that name is replaced)."""
-    keep = [c for c in docs.columns if c != ids]
+def encode(docs: DataFrame, model: str, text: str = "text", ids: str = "ids", chunk: int = CHUNK, round_trip: str = "") -> DataFrame:
+    """The columns of ``docs`` and the ids of each whole text as an array of integers; columns so named before are replaced.
+
+    ``round_trip`` names a column to tell whether decoding the ids gives the text, found where the text is encoded.
+    """
+    new = [ids, *([round_trip] if round_trip else [])]
+    keep = [c for c in docs.columns if c not in new]
     whole = docs.select(*keep, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in whole.schema.fields[:-1])
     is_long = F.length("__text") > chunk
 
-    def arrays(raw: list[bytes]) -> pa.Array:
+    def made(m: Model, raw: list[bytes], texts: list[str]) -> list[pa.Array]:
         at = np.concatenate(([0], np.cumsum([len(x) // 4 for x in raw]))).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join(raw), np.int32)))
+        out = [pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join(raw), np.int32)))]
+        if round_trip:
+            out.append(pa.array([m.decode(np.frombuffer(x, np.int32)) == t.replace(SPACE, " ") for x, t in zip(raw, texts)], pa.bool_()))
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model.at(model)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], arrays(m.encode_texts(part.column(len(keep)).to_pylist()))], names=[*keep, ids])
+        for part in few(batches, 128):
+            texts = part.column(len(keep)).to_pylist()
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], *made(m, m.encode_texts(texts), texts)], names=[*keep, *new])
 
     def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], arrays(batch.column(len(keep)).to_pylist())], names=[*keep, ids])
+        m = Model.at(model)
+        for batch in few(batches, 16):
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *made(m, batch.column(len(keep) + 1).to_pylist(), batch.column(len(keep)).to_pylist())], names=[*keep, *new])
 
-    out_schema = (f"{fields}, " if keep else "") + f"`{ids}` array<int>"
+    out_schema = (f"{fields}, " if keep else "") + f"`{ids}` array<int>" + (f", `{round_trip}` boolean" if round_trip else "")
     short = whole.filter(~is_long).mapInArrow(run, out_schema)
     long = cut(whole.filter(is_long).withColumn("__rid", F.monotonically_increasing_id()), "pieces-long")
     done = _encode_long(long.select(F.col("__rid").alias("rid"), F.col("__text").alias("text")), model, chunk)
-    joined = long.join(done, long["__rid"] == done["rid"]).select(*(long[c] for c in keep), done["ids"].alias("__ids")).mapInArrow(unpacked, out_schema)
+    joined = long.join(done, long["__rid"] == done["rid"]).select(*(long[c] for c in keep), long["__text"], done["ids"].alias("__ids")).mapInArrow(unpacked, out_schema)
     return short.unionByName(joined)
 
 

@@ -47,12 +47,12 @@ def test_chunked_texts_equal_the_library(spark):
     rows = X.AWKWARD[:11] + texts(60, 2, 400) + ["a" * 1000, " " * 500, "ab" + " " * 300 + "cd", "x" + "▁" * 90, "\n" * 200, "a b" * 100, "0123456789" * 40 + " " + "é" * 200]
     docs = X.docs(spark, rows).withColumnRenamed("hits", "ids")
     for chunk in (50, 97, P.CHUNK):
-        got = P.decode(P.encode(docs, PATH, chunk=chunk), PATH).collect()
+        got = P.decode(P.encode(docs, PATH, chunk=chunk, round_trip="round_trip"), PATH).collect()
         assert len(got) == len(rows) and "n_words" in got[0].asDict()
         for r in got:
             t = (r["text"] or "").replace(P.SPACE, " ")
             assert r["ids"] == m.library.encode(t), (chunk, t)
-            assert r["decoded"] == t
+            assert r["decoded"] == t and r["round_trip"]
 
 
 def test_empty(spark):
