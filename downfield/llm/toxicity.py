@@ -26,6 +26,8 @@ from downfield.llm import bytetext as B
 #: A feature's likelihood ratio against chance (G) has to make it no accident among a million grams.
 MAX_EXAMPLES, MAX_FEATURES, LEAST_G, LEAST_LIFT = 4096, 2048, 26.0, 4.0
 GRAMS, K, BLOCK = (5, 7, 9), 15, 64
+#: Bytes of text whose grams are in memory at once.
+PIECE = 1 << 18
 REJECT = 0.7
 _U = np.uint64
 
@@ -116,7 +118,7 @@ def choose_features(rows: DataFrame, most: int = MAX_FEATURES) -> list[int]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, raw, at in B.pieces(batch, "text"):
+            for part, raw, at in B.pieces(batch, "text", PIECE):
                 h, row = grams(raw, at)
                 toxic = part.column("toxic").to_numpy()
                 order = np.lexsort((row, h))
@@ -148,7 +150,7 @@ def document_frequencies(docs: DataFrame, features: Features) -> tuple[int, np.n
         df, n = np.zeros(len(features.keys), np.int64), 0
         for batch in batches:
             n += batch.num_rows
-            for _, raw, at in B.pieces(batch, "text"):
+            for _, raw, at in B.pieces(batch, "text", PIECE):
                 df += np.bincount(features.vectors(raw, at)[1], minlength=len(df))
         on = np.flatnonzero(df)
         yield pa.record_batch({"f": pa.array(np.concatenate(([-1], on)).astype(np.int32)), "n": pa.array(np.concatenate(([n], df[on])))})
@@ -280,7 +282,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_examples: int = MAX_EXAMPLES, m
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, raw, at in B.pieces(batch, "text"):
+            for part, raw, at in B.pieces(batch, "text", PIECE):
                 row, f, n = features.vectors(raw, at)
                 cutpoints = np.searchsorted(row, np.arange(part.num_rows + 1))
                 lists = lambda v: pa.ListArray.from_arrays(pa.array(cutpoints.astype(np.int32)), pa.array(v.astype(np.int32)))
@@ -305,7 +307,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", evidence: bool = Fa
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            for part, raw, at in B.pieces(batch, "__text"):
+            for part, raw, at in B.pieces(batch, "__text", PIECE):
                 row, f, n = m.features.vectors(raw, at)
                 out = np.full(part.num_rows, m.empty)
                 found: list[list] = [[] for _ in range(part.num_rows)]
