@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from downfield.llm.shared import cut
+from downfield.llm.shared import cut, discard
 
 ROUNDS = 60
 
@@ -25,7 +25,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         # small star: a node and its neighbours below go to the least of them
         below = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(below, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").unionByName(below.select("u", F.col("m").alias("v"))).distinct()
-        now = cut(small, "edges")
+        last, now = now, cut(small, "edges")
+        discard(last)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from downfield.llm import bytetext as B
 from downfield.llm.components import components
-from downfield.llm.shared import cut
+from downfield.llm.shared import cut, discard
 
 WORDS, SIMILARITY = 5, (3, 4)
 FIRST, FREQUENT, STAR_ROUNDS = 0.32, 64, 2
@@ -198,7 +198,7 @@ def combinations(frequent: np.ndarray, n: int) -> np.ndarray:
 
 
 def poor_keys(sets: DataFrame) -> DataFrame:
-    """key, node, n of the poor nodes: single rare tokens, and combinations where the prefix reaches into the frequent."""
+    """A cut of key, node, n of the poor nodes: single rare tokens, and combinations where the prefix reaches into the frequent."""
 
     def all_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -219,7 +219,9 @@ def poor_keys(sets: DataFrame) -> DataFrame:
     single = shared.filter("not frequent").select(F.col("token").alias("key"), "node", "n")
     grouped = shared.filter("frequent").groupBy("node", "n").agg(F.collect_list("token").alias("tokens"))  # at most a text's own tokens
     combined = grouped.mapInArrow(keys, "key long, node long, n int")
-    return single.unionByName(combined)
+    out = cut(single.unionByName(combined), "poor-keys")
+    discard(shared)
+    return out
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -286,21 +288,25 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     keyed = shared.filter("not frequent").join(of, "node").filter(F.col("poor") | (F.col("place") < F.col("prefix") + F.col("lost")))
     rest = F.col("n") - F.when(F.col("poor"), F.col("rare")).otherwise(F.col("prefix"))
     single = cut(keyed.select(F.col("token").alias("key"), "node", "n", rest.cast("int").alias("rest")), "keys")
+    discard(shared)
     wanted = state.join(single.select("node").distinct().withColumn("keyed", F.lit(True)), "node", "left").filter("poor or keyed")
     sets = cut(sets_of(docs, wanted.select("rep", "node", "poor")), "sets")
-    among = cut(poor_keys(sets), "poor-keys")
+    among = poor_keys(sets)
     keys = single.select("key", "node", "n").unionByName(among)
     edges = cut(verify(leader_pairs(keys, 0, None), sets), "links")
     comps = cut(components(edges), "components")
     for salt in range(1, STAR_ROUNDS):
         more = cut(verify(leader_pairs(keys, salt, comps), sets), "links")
         edges = edges.unionByName(more)
+        discard(comps)
         comps = cut(components(edges), "components")
     # what is left: bounded by shared prefix tokens among single keys, by sizes alone among the poor
     crossing = cross_pairs(single, comps)
     enough = F.expr(f"{SIMILARITY[0] + SIMILARITY[1]} * (c + greatest(rest_x, rest_y)) >= {SIMILARITY[0]} * (n_x + n_y)")
     left = crossing.filter(enough).select("a", "b").unionByName(cross_pairs(among, comps).select("a", "b")).distinct()
-    return nodes, edges.unionByName(cut(verify(left, sets), "links"))
+    edges = edges.unionByName(cut(verify(left, sets), "links"))
+    discard(single, among, sets, state, comps)
+    return nodes, edges
 
 
 def join_components(docs: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -28,10 +29,26 @@ def fresh_path(spark: SparkSession, label: str) -> str:
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends here, and a lost executor costs only tasks after it."""
-    path = fresh_path(df.sparkSession, label)
+    """Write ``df`` to the shared folder and read it back: lineage ends here, and a lost executor costs only tasks after it.
+
+    The shuffle files of what was written are let go: Spark removes them when the plans that refer to them are collected.
+    """
+    spark, path = df.sparkSession, fresh_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return out
+
+
+def discard(*cuts: DataFrame) -> None:
+    """Remove the files of cuts that nothing will read again."""
+    for df in cuts:
+        jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(df._cut_path)
+        path.getFileSystem(conf).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
