@@ -32,7 +32,7 @@ from downfield.llm.components import components
 from downfield.llm.shared import cut, discard
 
 WORDS, SIMILARITY = 5, (3, 4)
-FIRST, FREQUENT, STAR_ROUNDS = 0.32, 64, 2
+FIRST, FREQUENT, STAR_ROUNDS = 0.45, 64, 2
 _LIMIT = np.uint64(int(FIRST * 2**64))
 _U = np.uint64
 _I = np.int64
@@ -215,11 +215,11 @@ def poor_keys(sets: DataFrame) -> DataFrame:
                 if len(k):
                     yield pa.record_batch({"key": pa.array(k.view(_I)), "node": pa.array(np.full(len(k), node)), "n": pa.array(np.full(len(k), n, np.int32))})
 
-    shared = cut(shared_tokens(sets.filter("poor").select("node", "n", "hashes").mapInArrow(all_tokens, "token long, node long, n int")), "poor-tokens")
+    shared = cut(shared_tokens(sets.filter("poor").select("node", "n", "hashes").mapInArrow(all_tokens, "token long, node long, n int")), "poor-tokens", large=True)
     single = shared.filter("not frequent").select(F.col("token").alias("key"), "node", "n")
     grouped = shared.filter("frequent").groupBy("node", "n").agg(F.collect_list("token").alias("tokens"))  # at most a text's own tokens
     combined = grouped.mapInArrow(keys, "key long, node long, n int")
-    out = cut(single.unionByName(combined), "poor-keys")
+    out = cut(single.unionByName(combined), "poor-keys", large=True)
     discard(shared)
     return out
 
@@ -277,7 +277,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, node, n) of each row, and links (a, b) of nodes, enough of them to connect all that link."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     nodes = cut(nodes_of(docs), "nodes")
-    shared = cut(shared_tokens(first_tokens(docs)), "tokens")
+    shared = cut(shared_tokens(first_tokens(docs)), "tokens", large=True)
     lost = shared.filter("frequent").groupBy("node").agg(F.count("*").alias("lost"))
     size = nodes.filter("n > 2").groupBy("node", "n", "number").agg(F.min("doc_id").alias("rep"))
     state = size.join(lost, "node", "left").withColumn("lost", F.coalesce("lost", F.lit(0)))
@@ -287,16 +287,16 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     of = state.select("node", "poor", "lost", "prefix", "rare")
     keyed = shared.filter("not frequent").join(of, "node").filter(F.col("poor") | (F.col("place") < F.col("prefix") + F.col("lost")))
     rest = F.col("n") - F.when(F.col("poor"), F.col("rare")).otherwise(F.col("prefix"))
-    single = cut(keyed.select(F.col("token").alias("key"), "node", "n", rest.cast("int").alias("rest")), "keys")
+    single = cut(keyed.select(F.col("token").alias("key"), "node", "n", rest.cast("int").alias("rest")), "keys", large=True)
     discard(shared)
     wanted = state.join(single.select("node").distinct().withColumn("keyed", F.lit(True)), "node", "left").filter("poor or keyed")
-    sets = cut(sets_of(docs, wanted.select("rep", "node", "poor")), "sets")
+    sets = cut(sets_of(docs, wanted.select("rep", "node", "poor")), "sets", large=True)
     among = poor_keys(sets)
     keys = single.select("key", "node", "n").unionByName(among)
-    edges = cut(verify(leader_pairs(keys, 0, None), sets), "links")
+    edges = cut(verify(leader_pairs(keys, 0, None), sets), "links", large=True)
     comps = cut(components(edges), "components")
     for salt in range(1, STAR_ROUNDS):
-        more = cut(verify(leader_pairs(keys, salt, comps), sets), "links")
+        more = cut(verify(leader_pairs(keys, salt, comps), sets), "links", large=True)
         edges = edges.unionByName(more)
         discard(comps)
         comps = cut(components(edges), "components")
@@ -304,7 +304,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     crossing = cross_pairs(single, comps)
     enough = F.expr(f"{SIMILARITY[0] + SIMILARITY[1]} * (c + greatest(rest_x, rest_y)) >= {SIMILARITY[0]} * (n_x + n_y)")
     left = crossing.filter(enough).select("a", "b").unionByName(cross_pairs(among, comps).select("a", "b")).distinct()
-    edges = edges.unionByName(cut(verify(left, sets), "links"))
+    edges = edges.unionByName(cut(verify(left, sets), "links", large=True))
     discard(single, among, sets, state, comps)
     return nodes, edges
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,18 +29,21 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, label: str) -> DataFrame:
+def cut(df: DataFrame, label: str, large: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here, and a lost executor costs only tasks after it.
 
-    The shuffle files of what was written are let go: Spark removes them when the plans that refer to them are collected.
+    After a ``large`` one the shuffle files of what was written are let go. Spark removes them when the plans that refer to
+    them are collected, for which the Python objects have to be collected first, and then the driver's.
     """
     spark, path = df.sparkSession, fresh_path(df.sparkSession, label)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
     del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2 * large):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
     return out
 
 
