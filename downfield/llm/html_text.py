@@ -173,23 +173,38 @@ def choose(root: Node) -> list[Node]:
         threshold, up = min(threshold, up.density), up.parent
     chosen: list[Node] = []
 
+    order = list(walk(body))
+    most: dict[int, Node] = {}  # the node of the highest sum in each node, the first of equal ones
+    for n in reversed(order):
+        kids = [most[id(k)] for k in n.kids if not isinstance(k, str)]
+        most[id(n)] = max([n, *kids], key=lambda k: k.total)
+    home: dict[int, Node] = {}  # the article or main element each node is in
+    for n in order:
+        at = n if n.tag in ("article", "main") else home.get(id(n.parent))
+        if at is not None:
+            home[id(n)] = at
+    taken: set[int] = set()  # nodes within choices
+
     def mark(node: Node) -> None:
-        if node.density < threshold or not node.chars:
+        if id(node) in taken or node.density < threshold or not node.chars:
             return
-        best = max(walk(node), key=lambda n: n.total)
+        best = most[id(node)]
         best = best if best.total else node
-        lifted = up = best
-        while up is not None:
-            if up.tag in ("article", "main"):
-                lifted = up
-                break
-            up = up.parent
-        if lifted not in chosen:
+        lifted = home.get(id(best), best)
+        if id(lifted) not in taken:
             chosen.append(lifted)
+            taken.update(id(n) for n in walk(lifted) if id(n) not in taken)
+        for k in node.kids:
+            if not isinstance(k, str):
+                mark(k)
 
     mark(body)
-    if target is not body and not any(target in walk(c) for c in chosen):
-        mark(target)
+    # nested choices are one, in page order
+    picked, inside = {id(c) for c in chosen}, set()
+    for n in order:
+        if id(n.parent) in inside or id(n.parent) in picked:
+            inside.add(id(n))
+    chosen = [n for n in order if id(n) in picked and id(n) not in inside]
     return chosen
 
 

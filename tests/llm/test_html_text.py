@@ -54,3 +54,14 @@ def test_columns(spark):
     got = E.extract(df).collect()
     assert [(r["page_id"], r["text"], r["n_chars"]) for r in got] == [(1, "", 0), (1, "x", 1), (None, "é", 1)]
     assert E.extract(df.limit(0)).count() == 0
+
+
+def test_text_over_sibling_containers():
+    p = lambda k: f"<p>{f'part {k} of it and more, ' * 13}</p>"
+    links = "<div>" + "".join(f"<a href={i}>go{i}</a> " for i in range(9)) + "</div>"
+    for n, each in ((2, 3), (3, 5), (4, 8)):
+        page = f"<body>{links}" + "".join("<div>" + "".join(p(f"{i}x{j}") for j in range(each)) + "</div>" for i in range(n)) + f"{links}</body>"
+        got = E.main_text(page).split("\n\n")
+        assert len(got) == n * each and [x.split()[1] for x in got] == [f"{i}x{j}" for i in range(n) for j in range(each)]
+    got = E.main_text(f"<body>{links}<div><p>{'A lead that stands beside the text. ' * 6}</p></div><div>{p(1)}{p(2)}{p(3)}</div>{links}</body>")
+    assert got.startswith("A lead") and got.count("part 3") == 13 and "go1" not in got
