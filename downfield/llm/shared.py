@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,12 +11,16 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where the setting is absent (a local test session)."""
+    """The folder of ``spark.checkpoint.dir``.
+
+    Where the setting is absent, a temporary folder serves a session whose driver and tasks are one process (``local``,
+    ``local[n]``); any other master needs the setting.
+    """
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "")
     if found:
         return found.rstrip("/")
-    if not sc.master.startswith("local["):
+    if sc.master != "local" and not sc.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if sc.applicationId not in _OWN:
         _OWN[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="downfield-")
@@ -29,21 +31,24 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, label: str, large: bool = False) -> DataFrame:
+#: Spark's own setting by which a finished execution removes its shuffle files.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def cut(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here, and a lost executor costs only tasks after it.
 
-    After a ``large`` one the shuffle files of what was written are let go. Spark removes them when the plans that refer to
-    them are collected, for which the Python objects have to be collected first, and then the driver's.
+    The shuffle files of the execution that wrote it go with its end, as nothing will read them again.
     """
     spark, path = df.sparkSession, fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
-    del df
-    for _ in range(2 * large):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
     return out
 
 
