@@ -1,22 +1,24 @@
 """Exact Jaccard self-join of documents' word shingles by token-combination prefixes, as components of the links.
 
-Texts with equal shingle sets are one node.  Sets are ordered by one order of all tokens (hashed shingles): rare before
-frequent, then by hash; sets that link share a token in prefixes of n - ceil(t n) + 1 tokens.
-
-1. Of each node, the tokens of a fixed share ``FIRST`` of the hash space are dealt by token and counted over all documents; a
-   token in more than ``FREQUENT`` nodes is frequent.  A node with enough rare ones of them has its prefix there, and single
-   rare tokens are its keys.  Single tokens (in one node) end here, where they are counted.
-2. Nodes without enough, which frequent tokens or few tokens leave poor, are joined among themselves over all their tokens,
-   with counts of their own.  If a prefix reaches into the frequent class, it is extended by g tokens, tokens fall in g
-   classes by hash, and since such sets then share g + 1 prefix tokens, two of them fall in one class: two-token
-   combinations within a class are the keys.  g follows the sets' size, so a set has about as many keys as tokens.
-3. Keys with more than one node give candidates.  First each node is checked against the leader it shares most keys with, and
-   links found so far make components; only nodes of different components are candidates after that, and whole groups
-   of near copies never meet in all pairs.  Bounds on size and on shared prefix tokens go before the check of the sets.
+Texts with equal shingle sets are one node.  Sets that link share a token in prefixes of n - ceil(t n) + 1 tokens of any one
+order of all tokens (hashed shingles), so a node of which more than n - ceil(t n) tokens are its own links with nothing.
+
+1. Of each node, the tokens of a fixed share ``FIRST`` of the hash space are counted; nodes with too many tokens of their own
+   among them end here.  What the others lose by that only makes more tokens single: the rest is a question among the rest.
+2. The nodes left are checked against the leader of their ``SKETCH`` least tokens that they share most of, so that groups of
+   near copies are components before any keys are made.
+3. All tokens of the nodes left are counted by components: tokens of one component end here; a token of more than ``FREQUENT``
+   is frequent.  The order is single, rare, frequent, then by hash.  A prefix of rare tokens has these as single keys.  If it
+   reaches into the frequent class, it is extended by g tokens, frequent tokens fall in g classes by hash, and since sets that
+   link share g + 1 tokens of extended prefixes, they share a rare one or two frequent ones of one class: all rare tokens and
+   two-token combinations within a class are the keys.  g follows the sets' size, so a set has about as many keys as tokens.
+4. Keys of more than one component give candidates, again leaders first; only nodes of different components are candidates
+   after that.  Bounds on size and on tokens that may be shared go before the check of the sets.
 
 Defined results: texts of null or without words have no shingles and are components of their own; a text of fewer than
 five words is one shingle; repeated rows share a component; a component's id is the least doc_id of its rows (null only if
-all are null); an empty table gives no rows.  Sets are compared by 64-bit hashes of shingles.
+all are null), whatever ties; very long texts are read whole, in pieces of rows; an empty table gives no rows; only doc_id and
+text are read, so other columns clash with nothing.  Sets are compared by 64-bit hashes of shingles.
 """
 
 from __future__ import annotations
@@ -29,10 +31,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from downfield.llm import bytetext as B
 from downfield.llm.components import components
-from downfield.llm.shared import cut, discard
+from downfield.llm.shared import bounded_batches, cut, discard
 
 WORDS, SIMILARITY = 5, (3, 4)
-FIRST, FREQUENT, STAR_ROUNDS = 0.45, 64, 2
+FIRST, FREQUENT, SKETCH = 0.35, 64, 8
 _LIMIT = np.uint64(int(FIRST * 2**64))
 _U = np.uint64
 _I = np.int64
@@ -73,20 +75,19 @@ class Sets:
 
 
 def nodes_of(docs: DataFrame) -> DataFrame:
-    """doc_id, node, n and the number of first tokens of each row."""
+    """doc_id, node and n of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, raw, at in B.pieces(batch, "text"):
                 s = Sets(raw, at)
-                low = np.concatenate(([0], np.cumsum(s.hash < _LIMIT)))
-                yield pa.record_batch([part.column("doc_id"), pa.array(s.node), pa.array(s.size.astype(_I)), pa.array(low[s.first[1:]] - low[s.first[:-1]])], names=["doc_id", "node", "n", "number"])
+                yield pa.record_batch([part.column("doc_id"), pa.array(s.node), pa.array(s.size.astype(_I))], names=["doc_id", "node", "n"])
 
-    return docs.mapInArrow(run, "doc_id long, node long, n long, number long")
+    return docs.mapInArrow(run, "doc_id long, node long, n long")
 
 
 def first_tokens(docs: DataFrame) -> DataFrame:
-    """token, node, n and place among the node's first tokens, a node once for each task that meets it."""
+    """token and node for the first share of the hash space, a node once for each task that meets it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
@@ -100,64 +101,13 @@ def first_tokens(docs: DataFrame) -> DataFrame:
                         met.add(k)
                         fresh[i] = True
                 on = np.flatnonzero(fresh[s.row] & (s.hash < _LIMIT))
-                row = s.row[on]
-                begin = np.searchsorted(row, np.arange(len(s.node) + 1))
-                place = np.arange(len(on)) - begin[row]
-                yield pa.record_batch({"token": pa.array(s.hash[on].view(_I)), "node": pa.array(s.node[row]), "n": pa.array(s.size[row].astype(np.int32)), "place": pa.array(place.astype(np.int32))})
+                yield pa.record_batch({"token": pa.array(s.hash[on].view(_I)), "node": pa.array(s.node[s.row[on]])})
 
-    return docs.select("text").mapInArrow(run, "token long, node long, n int, place int")
-
-
-def shared_tokens(entries: DataFrame) -> DataFrame:
-    """Entries (token, node, ...) of tokens in two nodes or more, with whether the token is frequent.
-
-    Dealt and sorted by token, groups pass as a stream: only the first ``FREQUENT`` entries of a token are ever held.
-    """
-    names = entries.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list = []  # batches' rows of the last token, as far as its group isn't known to be frequent
-        known = None  # the last token, if it is frequent
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            whole = pa.Table.from_batches([*held, batch]).combine_chunks()
-            token, node = whole.column("token").to_numpy(), whole.column("node").to_numpy()
-            begin = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
-            size = np.diff(np.concatenate((begin, [len(token)])))
-            group = np.repeat(np.arange(len(begin)), size)
-            different = np.ones(len(token), bool)  # rows are sorted by token, then node
-            different[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
-            nodes = np.bincount(group, different, len(begin)).astype(_I)
-            frequent = nodes > FREQUENT
-            if known is not None and token[0] == known:
-                frequent[0] = True
-            last = len(begin) - 1
-            if frequent[last]:
-                known, held, wait = token[-1], [], np.zeros(len(token), bool)
-            else:
-                known, wait = None, group == last
-                held = whole.filter(pa.array(wait)).to_batches()
-            keep = different & ~wait & ((nodes[group] > 1) | frequent[group])
-            yield from _flagged(whole, keep, frequent[group])
-        if held:
-            whole = pa.Table.from_batches(held).combine_chunks()
-            node = whole.column("node").to_numpy()
-            different = np.ones(len(node), bool)
-            different[1:] = node[1:] != node[:-1]
-            if different.sum() > 1:
-                yield from _flagged(whole, different, np.zeros(len(node), bool))
-
-    def _flagged(whole: pa.Table, keep: np.ndarray, frequent: np.ndarray) -> list[pa.RecordBatch]:
-        out = whole.append_column("frequent", pa.array(frequent)).filter(pa.array(keep))
-        return out.combine_chunks().to_batches()
-
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in entries.schema.fields)
-    return entries.repartition("token").sortWithinPartitions("token", "node").select(*names).mapInArrow(run, f"{fields}, frequent boolean")
+    return docs.select("text").mapInArrow(run, "token long, node long")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, n, poor and the sorted hashes of the wanted (rep, node, poor); the texts are dealt by doc_id."""
+    """node, n and the hashes of the wanted (rep, node); the texts are dealt by doc_id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
@@ -166,10 +116,16 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 s = Sets(raw, at)
                 node = part.column("node").to_numpy()
                 on = [i for i in np.flatnonzero(s.node == node).tolist() if not (node[i].item() in met or met.add(node[i].item()))]
-                yield pa.record_batch({"node": pa.array(node[on], pa.int64()), "n": pa.array(s.size[on].astype(np.int32)), "poor": part.column("poor").take(pa.array(on, pa.int64())), "hashes": pa.array([s.hash[s.first[i] : s.first[i + 1]].tobytes() for i in on], pa.binary())})
+                yield pa.record_batch({"node": pa.array(node[on], pa.int64()), "n": pa.array(s.size[on].astype(np.int32)), "hashes": _lists([s.hash[s.first[i] : s.first[i + 1]] for i in on])})
+
+    joined = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["rep"])).select("text", "node")
+    # a node whose rows lie apart is made once for each of them
+    return joined.mapInArrow(run, "node long, n int, hashes array<long>").dropDuplicates(["node"])
+
 
-    joined = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["rep"])).select("text", "node", "poor")
-    return joined.mapInArrow(run, "node long, n int, poor boolean, hashes binary")
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    at = np.concatenate(([0], np.cumsum([len(x) for x in arrays]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([*arrays, np.zeros(0, _U)]).view(_I)))
 
 
 def classes(n: int) -> list[int]:
@@ -197,30 +153,32 @@ def combinations(frequent: np.ndarray, n: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, _U)
 
 
-def poor_keys(sets: DataFrame) -> DataFrame:
-    """A cut of key, node, n of the poor nodes: single rare tokens, and combinations where the prefix reaches into the frequent."""
-
-    def all_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                n = part.column("n").to_numpy()
-                tokens = np.frombuffer(b"".join(part.column("hashes").to_pylist()), _I)
-                yield pa.record_batch({"token": pa.array(tokens), "node": pa.array(np.repeat(part.column("node").to_numpy(), n)), "n": pa.array(np.repeat(n, n))})
+def exact_keys(sets: DataFrame, comps: DataFrame) -> DataFrame:
+    """A cut of key, node, n, left (tokens that another component has too) of the nodes that may link beyond their component."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for node, n, tokens in zip(*(batch.column(c).to_pylist() for c in ("node", "n", "tokens"))):
-                k = combinations(np.array(tokens, _I).view(_U), n)
-                if len(k):
-                    yield pa.record_batch({"key": pa.array(k.view(_I)), "node": pa.array(np.full(len(k), node)), "n": pa.array(np.full(len(k), n, np.int32))})
-
-    shared = cut(shared_tokens(sets.filter("poor").select("node", "n", "hashes").mapInArrow(all_tokens, "token long, node long, n int")), "poor-tokens")
-    single = shared.filter("not frequent").select(F.col("token").alias("key"), "node", "n")
-    grouped = shared.filter("frequent").groupBy("node", "n").agg(F.collect_list("token").alias("tokens"))  # at most a text's own tokens
-    combined = grouped.mapInArrow(keys, "key long, node long, n int")
-    out = cut(single.unionByName(combined), "poor-keys")
-    discard(shared)
+            rows: list[tuple[np.ndarray, int, int, int]] = []
+            for i, (node, n) in enumerate(zip(batch.column("node").to_pylist(), batch.column("n").to_pylist())):
+                rare, often = (np.unique(np.asarray(batch.column(c)[i].values, _I).view(_U)) for c in ("rare", "often"))
+                left = len(rare) + len(often)
+                want = n - need(n) + 1 - (n - left)  # places of the prefix after the single tokens
+                if want <= 0:
+                    continue
+                k = rare[:want] if len(rare) >= want else np.concatenate((rare, combinations(often, n)))
+                rows.append((k, node, n, left))
+            if rows:
+                times = [len(r[0]) for r in rows]
+                yield pa.record_batch({"key": pa.array(np.concatenate([r[0] for r in rows]).view(_I)), **{c: pa.array(np.repeat(np.array([r[j] for r in rows], _I), times)) for j, c in ((1, "node"), (2, "n"), (3, "left"))}})
+
+    each = sets.select("node", "n", F.explode("hashes").alias("token"))
+    entries = each.join(comps, "node", "left").select("token", "node", "n", F.coalesce("component", "node").alias("c"))
+    # counts of pre-aggregated distinct pairs, then a join of plain exchanges: a token of a third of the nodes is split
+    often = cut(entries.select("token", "c").distinct().groupBy("token").agg(F.count("*").alias("df")).filter("df > 1").select("token", (F.col("df") > FREQUENT).alias("frequent")), "tokens")
+    shared = each.join(often, "token")
+    lists = shared.groupBy("node", "n").agg(*(F.collect_list(F.when(x, F.col("token"))).alias(c) for c, x in (("rare", ~F.col("frequent")), ("often", F.col("frequent")))))  # at most a text's own tokens
+    out = cut(lists.mapInArrow(keys, "key long, node long, n long, left long"), "keys")
+    discard(often)
     return out
 
 
@@ -233,8 +191,7 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for i, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"))):
-                x, y = np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U)
-                both = np.concatenate((x, y))
+                both = np.concatenate((x.values.to_numpy(), y.values.to_numpy()))
                 both.sort()
                 same = int((both[1:] == both[:-1]).sum())
                 if SIMILARITY[1] * same >= SIMILARITY[0] * (len(both) - same):
@@ -248,64 +205,53 @@ def _may_link(n: str, m: str) -> str:
     return f"{SIMILARITY[1]} * least({n}, {m}) >= {SIMILARITY[0]} * greatest({n}, {m})"
 
 
-def leader_pairs(keys: DataFrame, salt: int, comps: DataFrame | None) -> DataFrame:
+def leader_pairs(keys: DataFrame, comps: DataFrame | None) -> DataFrame:
     """For each node, the leader of a key that it shares most keys with (and is not in one component with)."""
-    rows = keys.withColumn("order", F.xxhash64("node", F.lit(salt)))
+    rows = keys.withColumn("order", F.xxhash64("node"))
     rows = rows if comps is None else rows.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lead = rows.groupBy("key").agg(F.min(F.struct("order", "node", "n", *(["component"] if comps is not None else []))).alias("l"), F.count("*").alias("size")).filter("size > 1")
-    met = rows.join(lead, "key").filter(f"node != l.node and {_may_link('n', 'l.n')}" + (" and component != l.component" if comps is not None else ""))
+    met = rows.join(cut(lead.select("key", "l"), "leaders"), "key").filter(f"node != l.node and {_may_link('n', 'l.n')}" + (" and component != l.component" if comps is not None else ""))
     votes = met.groupBy("node", F.col("l.node").alias("leader")).agg(F.count("*").alias("c"))
     best = votes.groupBy("node").agg(F.max(F.struct("c", "leader")).alias("m"))
     return best.select(F.least("node", "m.leader").alias("a"), F.greatest("node", "m.leader").alias("b")).distinct()
 
 
 def cross_pairs(keys: DataFrame, comps: DataFrame) -> DataFrame:
-    """Pairs of nodes that share a key and are in different components, with the number of keys they share.
+    """Pairs of nodes that share a key, are in different components, and may share enough.
 
     Only keys that join more than one component are left, and within one, nodes of equal components never pair.
     """
     rows = keys.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = rows.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 != c2").select("key")
-    rows = rows.join(mixed, "key", "left_semi")
+    rows = cut(rows.join(cut(mixed, "mixed-keys"), "key", "left_semi"), "mixed-rows")
     x, y = (rows.select("key", *(F.col(c).alias(f"{c}_{s}") for c in rows.columns if c != "key")) for s in "xy")
-    both = x.join(y, "key").filter(f"node_x < node_y and component_x != component_y and {_may_link('n_x', 'n_y')}")
-    more = [F.first(f"rest_{s}").alias(f"rest_{s}") for s in "xy"] if "rest" in keys.columns else []
-    return both.groupBy(F.col("node_x").alias("a"), F.col("node_y").alias("b")).agg(F.count("*").alias("c"), F.first("n_x").alias("n_x"), F.first("n_y").alias("n_y"), *more)
+    s, t = SIMILARITY
+    enough = f"{s + t} * least(left_x, left_y) >= {s} * (n_x + n_y)"
+    both = x.join(y, "key").filter(f"node_x < node_y and component_x != component_y and {_may_link('n_x', 'n_y')} and {enough}")
+    return both.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
 
 
 def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, node, n) of each row, and links (a, b) of nodes, enough of them to connect all that link."""
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     nodes = cut(nodes_of(docs), "nodes")
-    shared = cut(shared_tokens(first_tokens(docs)), "tokens")
-    lost = shared.filter("frequent").groupBy("node").agg(F.count("*").alias("lost"))
-    size = nodes.filter("n > 2").groupBy("node", "n", "number").agg(F.min("doc_id").alias("rep"))
-    state = size.join(lost, "node", "left").withColumn("lost", F.coalesce("lost", F.lit(0)))
-    prefix = F.expr(f"n - ceil(n * {SIMILARITY[0]} / {SIMILARITY[1]}) + 1")
-    state = state.withColumn("prefix", prefix).withColumn("rare", F.col("number") - F.col("lost")).withColumn("poor", F.col("rare") < F.col("prefix"))
-    state = cut(state, "state")
-    of = state.select("node", "poor", "lost", "prefix", "rare")
-    keyed = shared.filter("not frequent").join(of, "node").filter(F.col("poor") | (F.col("place") < F.col("prefix") + F.col("lost")))
-    rest = F.col("n") - F.when(F.col("poor"), F.col("rare")).otherwise(F.col("prefix"))
-    single = cut(keyed.select(F.col("token").alias("key"), "node", "n", rest.cast("int").alias("rest")), "keys")
-    discard(shared)
-    wanted = state.join(single.select("node").distinct().withColumn("keyed", F.lit(True)), "node", "left").filter("poor or keyed")
-    sets = cut(sets_of(docs, wanted.select("rep", "node", "poor")), "sets")
-    among = poor_keys(sets)
-    keys = single.select("key", "node", "n").unionByName(among)
-    edges = cut(verify(leader_pairs(keys, 0, None), sets), "links")
+    own = first_tokens(docs).groupBy("token").agg(F.min("node").alias("node"), F.max("node").alias("last")).filter("node = last")
+    own = cut(own.groupBy("node").agg(F.count("*").alias("own")), "own-tokens")
+    # sets of one or two tokens link with equal ones only
+    size = nodes.filter("n > 2").groupBy("node", "n").agg(F.min("doc_id").alias("rep"))
+    alive = size.join(own, "node", "left").filter(f"coalesce(own, 0) <= n - ceil(n * {SIMILARITY[0]} / {SIMILARITY[1]})")
+    sets = cut(sets_of(docs, cut(alive.select("rep", "node"), "alive")), "sets")
+    least = sets.select("node", "n", F.explode(F.slice("hashes", 1, SKETCH)).alias("key"))
+    edges = cut(verify(leader_pairs(least, None), sets), "links")
+    comps = cut(components(edges), "components")
+    keys = exact_keys(sets, comps)
+    more = cut(verify(leader_pairs(keys, comps), sets), "links")
+    edges = edges.unionByName(more)
+    discard(comps, own)
     comps = cut(components(edges), "components")
-    for salt in range(1, STAR_ROUNDS):
-        more = cut(verify(leader_pairs(keys, salt, comps), sets), "links")
-        edges = edges.unionByName(more)
-        discard(comps)
-        comps = cut(components(edges), "components")
-    # what is left: bounded by shared prefix tokens among single keys, by sizes alone among the poor
-    crossing = cross_pairs(single, comps)
-    enough = F.expr(f"{SIMILARITY[0] + SIMILARITY[1]} * (c + greatest(rest_x, rest_y)) >= {SIMILARITY[0]} * (n_x + n_y)")
-    left = crossing.filter(enough).select("a", "b").unionByName(cross_pairs(among, comps).select("a", "b")).distinct()
-    edges = edges.unionByName(cut(verify(left, sets), "links"))
-    discard(single, among, sets, state, comps)
+    edges = edges.unionByName(cut(verify(cross_pairs(keys, comps), sets), "links"))
+    discard(keys, sets, comps)
     return nodes, edges
 
 

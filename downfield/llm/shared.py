@@ -52,6 +52,17 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+#: Bytes of an Arrow batch that goes to a Python worker, about: memory must not follow the length of the texts.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Let Arrow batches be small from now on; Spark ends one by its bytes or its rows, whichever come first."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def discard(*cuts: DataFrame) -> None:
     """Remove the files of cuts that nothing will read again."""
     for df in cuts:
