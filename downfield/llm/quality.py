@@ -1,10 +1,17 @@
 """Quality rules with verdicts by host.
 
 Rules are counted per document, summed by host (one partial sum per task and host, whatever share of the rows a host holds),
-each host's failure rates are shrunk by a beta prior fitted to all hosts' rates by the method of moments, and the verdict is
-joined back.  A document is kept if it passes the base rules and no rate of its host is beyond the rule's limit.
+each host's failure rates are shrunk by a beta prior fitted to all hosts, and the verdict is joined back.  A document is kept
+if it passes the base rules and no shrunk rate of its host is beyond the rule's limit.
 
-Defined results: a null text has no words (and fails); a null host is a host of its own; an empty table gives no rows.
+The prior is the beta-binomial one of the moments: its mean is the rate over all documents, and its weight comes from the
+correlation within hosts that the hosts' rates show beyond chance, each host weighted by its documents.  A host of few documents
+so gets about the mean and one of many its own rate, without any least size; if rates vary no more than by chance, or hosts say
+nothing about that (a single one, or none of two documents), every host has the mean.
+
+Defined results: a null text has no words (and fails); a null host is a host of its own; repeated rows count each time and each
+get their verdict; very long texts are counted whole; a rate that ties with its limit is not beyond it; only the key, the host
+and the text are read, so other columns clash with nothing; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -16,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from downfield.llm import bytetext as B
-from downfield.llm.shared import cut
+from downfield.llm.shared import bounded_batches, cut
 
 #: rule -> (condition of failure, a host's shrunk rate beyond which the host is rejected)
 RULES = {
@@ -25,8 +32,6 @@ RULES = {
     "lines": ("n_lines > 0 and 2 * n_dup_lines > n_lines", 0.8),
     "length": ("n_words > 0 and (word_chars < 2 * n_words or word_chars > 20 * n_words)", 0.8),
 }
-#: A host with fewer documents gets no verdict of its own.
-LEAST_DOCS = 20
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -86,24 +91,27 @@ def measure(docs: DataFrame, keep: list[str]) -> DataFrame:
     return rows.mapInArrow(run, f"{schema}, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
-def host_verdicts(measured: DataFrame, host: str, rules: dict = RULES, least_docs: int = LEAST_DOCS) -> DataFrame:
+def host_verdicts(measured: DataFrame, host: str, rules: dict = RULES) -> DataFrame:
     """A row for each host: its shrunk failure rates and whether it is rejected."""
     hosts = measured.groupBy(F.col(host).alias("host")).agg(F.count("*").alias("n"), *(F.sum(F.expr(f"{cond}").cast("long")).alias(f"f_{r}") for r, (cond, _) in rules.items()))
-    big = F.col("n") >= least_docs
-    moments = hosts.agg(*(f(F.when(big, F.col(f"f_{r}") / F.col("n"))).alias(f"{k}_{r}") for r in rules for k, f in (("m", F.avg), ("v", F.var_pop))))
+    n = F.col("n").cast("double")
+    moments = hosts.agg(F.count("*").alias("h"), F.sum(n).alias("all"), F.sum(n * n).alias("squares"), *(f for r in rules for f in (F.sum(f"f_{r}").alias(f"sum_{r}"), F.sum(F.col(f"f_{r}") * F.col(f"f_{r}") / n).alias(f"between_{r}"))))
     both = hosts.crossJoin(F.broadcast(moments))  # moments is one row
     rates, reject = {}, F.lit(False)
     for r, (_, limit) in rules.items():
-        m, v = F.coalesce(F.col(f"m_{r}"), F.lit(0.0)), F.coalesce(F.col(f"v_{r}"), F.lit(0.0))
-        # the prior's weight, m(1-m)/v - 1, kept between 1 and 1000 documents where the rates hardly vary or vary wildly
-        weight = F.when((v <= 0) | (m <= 0) | (m >= 1), F.lit(1000.0)).otherwise(F.least(F.greatest(m * (1 - m) / v - 1, F.lit(1.0)), F.lit(1000.0)))
-        rates[f"rate_{r}"] = (F.col(f"f_{r}") + m * weight) / (F.col("n") + weight)
-        reject = reject | (big & (rates[f"rate_{r}"] > limit))
+        m = F.col(f"sum_{r}") / F.col("all")
+        spread = F.col(f"between_{r}") - F.col(f"sum_{r}") * m
+        room = F.col("all") - F.col("squares") / F.col("all") - (F.col("h") - 1)
+        alike = F.when((room > 1e-9) & (m > 0) & (m < 1), F.try_divide(F.try_divide(spread, m * (1 - m)) - (F.col("h") - 1), room))
+        weight = F.greatest(F.try_divide(1 - alike, alike), F.lit(0.0))
+        rates[f"rate_{r}"] = F.when(alike > 0, (F.col(f"f_{r}") + m * weight) / (n + weight)).otherwise(m)
+        reject = reject | (rates[f"rate_{r}"] > limit)
     return both.select("host", "n", *(c.alias(k) for k, c in rates.items()), reject.alias("rejected"))
 
 
 def quality(docs: DataFrame, key: str = "doc_id", host: str = "source") -> DataFrame:
     """key, host, the counts, base_failed, host_rejected and kept for each row."""
+    bounded_batches(docs.sparkSession)
     measured = measure(docs, [key, host]).withColumn("base_failed", F.expr("n_words < 10 or 100 * n_repeat_words > 20 * n_words"))
     measured = cut(measured, "quality")
     verdicts = host_verdicts(measured, host)

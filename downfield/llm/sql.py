@@ -75,7 +75,9 @@ _RULES = {
     "lines": ("n_lines > 0 and 2 * n_dup_lines > n_lines", 0.8),
     "length": ("n_words > 0 and (word_chars < 2 * n_words or word_chars > 20 * n_words)", 0.8),
 }
-_WEIGHT = "case when v_{0} <= 0 or m_{0} <= 0 or m_{0} >= 1 then 1000.0 else least(greatest(m_{0} * (1 - m_{0}) / v_{0} - 1, 1.0), 1000.0) end"
+#: Correlation within hosts by the moments of the beta-binomial, null where they say nothing.
+_ALIKE = "case when room > 1e-9 and sum_{0} > 0 and sum_{0} < total then ((between_{0} - sum_{0} * (sum_{0} / total)) / ((sum_{0} / total) * (1 - sum_{0} / total)) - (h - 1)) / room end"
+_RATE = "case when a_{0} > 0 then (f_{0} + sum_{0} / total * greatest((1 - a_{0}) / a_{0}, 0)) / (n + greatest((1 - a_{0}) / a_{0}, 0)) else sum_{0} / total end"
 
 SQL["op9_quality_rules"] = rf"""
 with doc as (select row_number() over () r, doc_id, source, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w from documents),
@@ -88,8 +90,9 @@ counts as (
   from doc left join line using (r) left join again using (r)),
 measured as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words base_failed from counts),
 host as (select source, count(*) n, {", ".join(f"sum(({c})::int) f_{k}" for k, (c, _) in _RULES.items())} from measured group by source),
-moment as (select {", ".join(f"coalesce(avg(f_{k} / n) filter (n >= 20), 0) m_{k}, coalesce(var_pop(f_{k} / n) filter (n >= 20), 0) v_{k}" for k in _RULES)} from host),
-verdict as (select source s, n >= 20 and ({" or ".join(f"(f_{k} + m_{k} * {_WEIGHT.format(k)}) / (n + {_WEIGHT.format(k)}) > {limit}" for k, (_, limit) in _RULES.items())}) rejected from host, moment)
+moment as (select count(*) h, sum(n)::double total, sum(n) - sum(n::double * n) / sum(n) - (count(*) - 1) room, {", ".join(f"sum(f_{k})::double sum_{k}, sum(f_{k}::double * f_{k} / n) between_{k}" for k in _RULES)} from host),
+prior as (select *, {", ".join(f"{_ALIKE.format(k)} a_{k}" for k in _RULES)} from moment),
+verdict as (select source s, ({" or ".join(f"{_RATE.format(k)} > {limit}" for k, (_, limit) in _RULES.items())}) rejected from host, prior)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not rejected kept
 from measured join verdict on source is not distinct from s
 """

@@ -1,19 +1,21 @@
 """Toxicity by the nearest labelled examples, exact TF-IDF cosine and block-max inverted indexes.
 
 Examples are a bounded sample of the labelled rows (``MAX_EXAMPLES`` of each class, by a hash of the id).  Features are the
-words and the grams of five, seven and nine characters of lower-cased letters that are far likelier in toxic examples; their document frequencies are counted
-over all documents.  A text's neighbours are its ``K`` examples of highest cosine: blocks of examples are bounded by each
+words and the grams of five, seven and nine characters of lower-cased letters that are far likelier in toxic examples, all of
+them; their document frequencies are counted over all documents.  A text's neighbours are its ``K`` examples of highest cosine: blocks of examples are bounded by each
 feature's largest weight in them, and a block whose bound is below the k-th best so far is skipped, so the search is exact.
 The neighbours vote by similarity, and isotonic calibration (leave-one-out over the examples, weighted back to the labels'
 own shares) turns votes into probabilities.  A text without any feature gets the share of toxic examples without any.
 
-Defined results: null and empty texts have no features; repeated rows get equal scores; an empty table gives no rows; without
-usable labels every score is 0.  Labels of null or of ids that are not in the documents are not used; if an id is labelled
-more than once, its highest label counts.
+Defined results: null and empty texts have no features; repeated rows get equal scores; very long texts are read whole; an
+empty table gives no rows; without usable labels every score is 0; of examples that tie in cosine the first in the index's
+order counts.  Labels of null or of ids that are not in the documents are not used; if an id is labelled more than once, its
+highest label counts.  Columns named toxicity or evidence are replaced; all others are handed on.
 """
 
 from __future__ import annotations
 
+import math
 import unicodedata
 from collections.abc import Iterator
 
@@ -22,9 +24,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from downfield.llm import bytetext as B
+from downfield.llm.shared import bounded_batches, cut, discard
 
 #: A feature's likelihood ratio against chance (G) has to make it no accident among a million grams.
-MAX_EXAMPLES, MAX_FEATURES, LEAST_G, LEAST_LIFT = 4096, 2048, 26.0, 4.0
+MAX_EXAMPLES, LEAST_G, LEAST_LIFT = 4096, 26.0, 4.0
 GRAMS, K, BLOCK = (5, 7, 9), 15, 64
 #: Bytes of text whose grams are in memory at once.
 PIECE = 1 << 18
@@ -78,7 +81,7 @@ class Features:
     """The chosen grams: which of a piece's grams they are."""
 
     def __init__(self, hashes: list[int]):
-        self.keys = np.sort(np.array(hashes, np.int64).view(_U)) if hashes else np.zeros(0, _U)
+        self.keys = np.sort(np.array(hashes, np.int64).view(_U)) if len(hashes) else np.zeros(0, _U)
         self.bits = np.zeros(1 << 20, bool)
         self.bits[(self.keys >> _U(44)).astype(np.int64)] = True
 
@@ -113,34 +116,58 @@ def examples(docs: DataFrame, labels: DataFrame, most: int = MAX_EXAMPLES) -> tu
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(ids, "doc_id"), share
 
 
-def choose_features(rows: DataFrame, most: int = MAX_FEATURES) -> list[int]:
-    """Hashes of the grams ``LEAST_LIFT`` times as frequent in toxic examples as in others, beyond chance."""
+def _distinct(h: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Sorted hashes, each once for every row that has it."""
+    order = np.lexsort((row, h))
+    h, row = h[order], row[order]
+    once = np.ones(len(h), bool)
+    once[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+    return h[once]
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def choose_features(rows: DataFrame) -> list[int]:
+    """Hashes of the grams ``LEAST_LIFT`` times as frequent in toxic examples as in others, beyond chance.
+
+    Only grams that are in enough toxic examples to pass, were they in no other, are counted in the others.
+    """
+
+    def in_toxic(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, raw, at in B.pieces(batch, "text", PIECE):
-                h, row = grams(raw, at)
-                toxic = part.column("toxic").to_numpy()
-                order = np.lexsort((row, h))
-                h, row = h[order], row[order]
-                once = np.ones(len(h), bool)
-                once[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-                h, y = h[once], toxic[row[once]].astype(np.int64)
-                begin = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
-                ones = np.add.reduceat(y, begin) if len(h) else begin
-                alls = np.diff(np.concatenate((begin, [len(h)])))
-                yield pa.record_batch({"h": pa.array(h[begin].view(np.int64)), "n1": pa.array(ones.astype(np.int64)), "n": pa.array(alls.astype(np.int64))})
+            for _, raw, at in B.pieces(batch, "text", PIECE):
+                h, times = np.unique(_distinct(*grams(raw, at)), return_counts=True)
+                yield pa.record_batch({"h": pa.array(h.view(np.int64)), "n": pa.array(times.astype(np.int64))})
 
     total = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = total.get(1, 0), total.get(0, 0)
-    found = rows.select("toxic", "text").mapInArrow(count, "h long, n1 long, n long").groupBy("h").agg(F.sum("n1").alias("n1"), F.sum("n").alias("n"))
-    lift = ((F.col("n1") + 0.5) / (n1 + 1)) / ((F.col("n") - F.col("n1") + 0.5) / (n0 + 1))
     share = max(n1, 1) / max(n1 + n0, 1)
-    others = F.col("n") - F.col("n1")
-    part = lambda k, p: F.when(k > 0, k * F.log(k / (F.col("n") * p))).otherwise(0.0)
-    g = 2 * (part(F.col("n1"), share) + part(others, max(1 - share, 1e-9)))
-    good = found.filter("n1 > 1").filter((lift >= LEAST_LIFT) & (g >= LEAST_G))
-    return [r["h"] for r in good.orderBy((F.col("n1") * F.log(lift)).desc(), "h").limit(most).select("h").collect()]
+    least = max(2.0, LEAST_G / (2 * max(-math.log(share), 1e-9)))
+    of = rows.filter("toxic = 1").select("text").mapInArrow(in_toxic, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    ones = of.toPandas()  # bounded by the number of examples
+    if not len(ones):
+        return []
+    keys = np.sort(ones["h"].to_numpy().astype(np.int64).view(_U))
+    shared = rows.sparkSession.sparkContext.broadcast(Features(keys.view(np.int64)))
+
+    def in_others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        features = shared.value
+        n = np.zeros(len(features.keys), np.int64)
+        for batch in batches:
+            for _, raw, at in B.pieces(batch, "text", PIECE):
+                n += np.bincount(features.vectors(raw, at)[1], minlength=len(n))
+        on = np.flatnonzero(n)
+        yield pa.record_batch({"f": pa.array(on.astype(np.int32)), "n": pa.array(n[on])})
+
+    others = np.zeros(len(keys))
+    got = rows.filter("toxic = 0").select("text").mapInArrow(in_others, "f int, n long").groupBy("f").agg(F.sum("n").alias("n")).toPandas()
+    others[got["f"].to_numpy().astype(int)] = got["n"]
+    shared.unpersist()
+    order = np.argsort(ones["h"].to_numpy().astype(np.int64).view(_U))
+    toxic = ones["n"].to_numpy().astype(float)[order]
+    n = toxic + others
+    lift = ((toxic + 0.5) / (n1 + 1)) / ((others + 0.5) / (n0 + 1))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        g = 2 * (toxic * np.log(toxic / (n * share)) + np.where(others > 0, others * np.log(others / (n * max(1 - share, 1e-9))), 0.0))
+    return keys[(lift >= LEAST_LIFT) & (g >= LEAST_G)].view(np.int64).tolist()
 
 
 def document_frequencies(docs: DataFrame, features: Features) -> tuple[int, np.ndarray]:
@@ -276,9 +303,11 @@ class Model:
         return [{"doc_id": self.ids[i], "similarity": float(s), "toxic": int(self.labels[i])} for i, s in zip(best.tolist(), near.tolist())]
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_examples: int = MAX_EXAMPLES, most_features: int = MAX_FEATURES) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, most_examples: int = MAX_EXAMPLES) -> Model:
+    bounded_batches(docs.sparkSession)
     rows, share = examples(docs, labels, most_examples)
-    features = Features(choose_features(rows, most_features))
+    rows = cut(rows, "toxicity-examples")  # read more than once, and bounded
+    features = Features(choose_features(rows))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -290,6 +319,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_examples: int = MAX_EXAMPLES, m
 
     got = rows.select("doc_id", "toxic", "text").mapInArrow(vectors, "doc_id long, toxic int, f array<int>, n array<int>").collect()  # bounded by the examples
     got.sort(key=lambda r: (r["doc_id"], r["f"], r["n"]))
+    discard(rows)
     n, df = document_frequencies(docs, features)
     idf = np.log((1 + n) / (1 + df)) + 1
     return Model(features, idf, [r["doc_id"] for r in got], np.array([r["toxic"] for r in got], int), [(np.array(r["f"], int), np.array(r["n"], int)) for r in got], share)
@@ -297,6 +327,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_examples: int = MAX_EXAMPLES, m
 
 def score(docs: DataFrame, model: Model, text: str = "text", evidence: bool = False) -> DataFrame:
     """The columns of ``docs``, toxicity (0 to 1) and, if asked for, the evidence; columns so named before are replaced."""
+    bounded_batches(docs.sparkSession)
     new = ["toxicity", *(["evidence"] if evidence else [])]
     keep = [c for c in docs.columns if c not in new]
     rows = docs.select(*keep, F.col(text).cast("string").alias("__text"))
