@@ -1,13 +1,18 @@
 """Main text of web pages by composite text density.
 
-A page is read into a tree.  Parts whose element or naming says what they are (menus, notices, adverts, forms, comments) go
-first.  Every node left gets its characters per tag, adjusted for links; a node's density sum is the sum of its children's
-densities.  The node of the highest sum is the target; the lowest density on the path from the body to it is the threshold.
-From the body down, each node at or over the threshold gives the node of the highest sum in it; a choice within an article
-or main element stands for that whole element.  The blocks of the chosen subtrees are the text.
+A page is read into a tree.  Parts whose element, role or name says what they are (menus, notices, adverts, forms, comments) go
+first; a name says so if all its pieces are words of such parts or of layout (``share-buttons``), and not if any other word is in
+it (``share-price``).  Headings and paragraphs are never taken for such parts.  Every node left gets its characters per tag,
+adjusted for links; a node's density sum is the sum of its children's densities.  The node of the highest sum is the target; the
+lowest density on the path from the body to it is the threshold.  From the body down, each node at or over the threshold gives
+the node of the highest sum in it; a choice within an article or main element stands for that whole element.  The blocks of the
+chosen subtrees are the text.  Without such an element, what stands beside the choices on the way up to the body belongs to them
+if it is loose text, headings, paragraphs, lists and the like, and not mostly links.
 
 Defined results: a null or empty page, or one without text outside the parts dropped, has the text "" and 0 characters;
-repeated rows each get their result; malformed markup is read as far as it makes sense and never fails.
+repeated rows each get their result; malformed markup is read as far as it makes sense and never fails; very long pages are read
+whole; of nodes that tie for the highest sum the first in page order is the target; columns named as the new ones are replaced
+and all others are handed on; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,18 +25,25 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from downfield.llm.shared import bounded_batches
+
 #: Elements of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
-RAW = "script style noscript template iframe svg math title textarea object"
-DROPPED = frozenset(f"{RAW} head nav footer aside form button select dialog menu input label fieldset canvas audio video".split())
+RAW = "script style noscript template iframe svg title textarea annotation annotation-xml"
+DROPPED = frozenset(f"{RAW} head nav footer aside form button select dialog menu input fieldset canvas audio video".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that hold text of their own rather than lay out a page.
+TEXTUAL = frozenset("h1 h2 h3 h4 h5 h6 p blockquote pre ul ol dl table figure".split())
 NAMED = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead comment comments disqus replies respond share sharing social related newsletter subscribe subscription popup modal overlay widget paywall toolbar pagination".split())
+#: Words of layout that may stand beside those in a name.
+LAYOUT = frozenset("area bar block body bottom box btn button buttons center column container content desktop fixed form global group holder icons inner items item js left link links list listing main message mobile outer page panel post posts primary row secondary section signup site slot sticky text thread toggle top unit widgets wrap wrapper right articles stories js".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar".split())
 #: An opening element here ends an open one of these, up to the nearest of the third.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW.replace(' ', '|')})(?=[\s/>])[^>]*+>.*?(?:</\1\s*+>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?>[^<>\"']++|\"[^\"]{{0,10000}}+\"|'[^']{{0,10000}}+'|[\"'])*+)>",
+    rf"<!--.*?(?:-->|\Z)|<({RAW.replace(' ', '|')})(?=[\s/>])[^>]*+>.*?(?:</\1\s*+>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?>[^<>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>",
     re.S | re.I,
 )
 _NAMES = re.compile(r"""(?:^|[\s"'/])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -49,6 +61,10 @@ class Node:
         self.depth = parent.depth + 1 if parent else 0
 
 
+#: What keeps the words on both sides of something left out apart.
+_BREAK = Node("hr", "", None)
+
+
 def parse(page: str) -> Node:
     """The tree of a page; a kid is a node or a text with its references decoded."""
     root = node = Node("html", "", None)
@@ -90,13 +106,18 @@ def parse(page: str) -> Node:
 
 
 def _named(node: Node) -> bool:
+    if node.tag in HEADINGS or node.tag == "p":
+        return False
     for m in _NAMES.finditer(node.attrs):
         value = (m[2] or m[3] or m[4] or "").lower()
         if m[1].lower() == "role":
             if value.strip() in ROLES:
                 return True
-        elif any(x in NAMED for x in re.split(r"[^a-z0-9]+", value)):
-            return True
+            continue
+        for name in value.split():
+            pieces = [x for x in re.split(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])", name) if x and not x.isdigit()]
+            if any(x in NAMED for x in pieces) and all(x in NAMED or x in LAYOUT for x in pieces):
+                return True
     return False
 
 
@@ -208,7 +229,53 @@ def choose(root: Node) -> list[Node]:
     return chosen
 
 
-def blocks(nodes: list[Node]) -> list[str]:
+def beside(kid: "Node | str") -> bool:
+    """Whether what stands beside a choice belongs to it."""
+    if isinstance(kid, str):
+        return True
+    if kid.tag in BLOCK and kid.tag not in TEXTUAL and not _headed(kid):
+        return False
+    return kid.chars > 0 and 2 * kid.link_chars <= kid.chars
+
+
+def _headed(node: Node) -> bool:
+    """Whether all text in a node is in headings."""
+    return node.tag in HEADINGS or all(not k.strip() if isinstance(k, str) else not k.chars or _headed(k) for k in node.kids)
+
+
+def whole_choice(chosen: list[Node]) -> list["Node | str"]:
+    """The choices and what belongs to them, in page order."""
+    if not chosen or any(n.tag in ("article", "main") for n in chosen):
+        return chosen
+    picked = {id(n) for n in chosen}
+    above: set[int] = set()
+    for n in chosen:
+        while n.parent is not None and n.tag != "body":
+            n = n.parent
+            above.add(id(n))
+    top = chosen[0]
+    while top.parent is not None and top.tag != "body":
+        top = top.parent
+    top_picked = id(top) in picked
+    out: list[Node | str] = []
+
+    def visit(node: Node) -> None:
+        if id(node) in picked and node is not top:
+            out.append(node)
+            return
+        for k in node.kids:
+            if not isinstance(k, str) and (id(k) in above or id(k) in picked):
+                visit(k)
+            elif beside(k) or top_picked and 2 * k.link_chars <= k.chars:  # of a whole body, all but menus
+                out.append(k)
+            else:
+                out.append(_BREAK)
+
+    visit(top)
+    return out
+
+
+def blocks(nodes: list["Node | str"]) -> list[str]:
     out, now = [], []
 
     def end() -> None:
@@ -232,8 +299,11 @@ def blocks(nodes: list[Node]) -> list[str]:
             end()
 
     for n in nodes:
-        visit(n)
-        end()
+        if isinstance(n, str):
+            now.append(n)
+        else:
+            visit(n)
+    end()
     return out
 
 
@@ -242,11 +312,12 @@ def main_text(page: str | None) -> str:
         return ""
     root = parse(page)
     prune(root)
-    return "\n\n".join(blocks(choose(root)))
+    return "\n\n".join(blocks(whole_choice(choose(root))))
 
 
 def extract(pages: DataFrame, html_column: str = "html", text_column: str = "text", chars_column: str = "n_chars") -> DataFrame:
     """The columns of ``pages`` but the html, with the main text and its code points (columns so named before are replaced)."""
+    bounded_batches(pages.sparkSession)
     keep = [c for c in pages.columns if c not in (html_column, text_column, chars_column)]
     rows = pages.select(*keep, F.col(html_column).cast("string").alias("__html"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])

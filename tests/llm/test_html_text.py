@@ -1,4 +1,5 @@
 import html as H
+import random
 import re
 import time
 
@@ -65,3 +66,48 @@ def test_text_over_sibling_containers():
         assert len(got) == n * each and [x.split()[1] for x in got] == [f"{i}x{j}" for i in range(n) for j in range(each)]
     got = E.main_text(f"<body>{links}<div><p>{'A lead that stands beside the text. ' * 6}</p></div><div>{p(1)}{p(2)}{p(3)}</div>{links}</body>")
     assert got.startswith("A lead") and got.count("part 3") == 13 and "go1" not in got
+
+
+def test_names_of_articles_own_parts_stay():
+    p = "word and word, " * 20
+    page = f"""<body><nav>x</nav><article><h1>Head</h1><p>{p}</p><h2 id="social-impact">Impact</h2><div class="share-price"><p>Price of a share</p></div>
+    <p class="notice-board">Board</p><h2 id="comments">On comments</h2><section id="related-work"><p>Work</p></section><p>Mass <math><mi>E</mi><mo>=</mo><mi>m</mi><annotation encoding=TeX>E=m</annotation></math> here</p>
+    <object data=x.swf>Fallback words</object><label>A label outside</label><div class="share-buttons">Tell</div><div class="site-sidebar2">Side</div><div class="ad-slot top">Buy</div><ul class="comments-list"><li>Me too</ul>
+    <div id="comments">First!</div></article></body>"""
+    got = E.main_text(page).split("\n\n")
+    assert got == ["Head", p.strip(), "Impact", "Price of a share", "Board", "On comments", "Work", "Mass E=m here", "Fallback wordsA label outside"]
+
+
+def test_long_attributes():
+    value = "a > b " * 5000
+    for quote in "\"'":
+        assert E.main_text(f"<article><p>One <img alt={quote}{value}{quote}> two</p></article>") == "One two"
+
+
+def test_what_stands_beside_the_densest_node():
+    p = "<p>" + "word and word, " * 20 + "</p>"
+    links = "<div>" + "".join(f"<a href={i}>go{i}</a> " for i in range(9)) + "</div>"
+    text = E.main_text(f"<body>{links}<div id=main><p>Short intro.</p><div>{p}{p}{p}</div><p>Short end.</p></div>{links}</body>").split("\n\n")
+    assert [text[0], text[-1], len(text)] == ["Short intro.", "Short end.", 5]
+    text = E.main_text(f"<body>{links}<div><div class=title><h1>Title</h1></div><ul><li><a href=1>menu</a><li><a href=2>more</a></ul>Loose <b>lead</b><div><div>{p}{p}{p}</div></div><blockquote>Quote</blockquote></div>{links}</body>").split("\n\n")
+    assert text[:2] == ["Title", "Loose lead"] and text[-1] == "Quote" and len(text) == 6
+
+
+def test_pages_without_articles_by_construction():
+    """Pages put together from parts whose text is known, without elements that name the article."""
+    r = random.Random(3)
+    for k in range(60):
+        parts, want = [], []
+        for i in range(r.randint(3, 14)):
+            words = " ".join(f"t{k}x{i}x{j}" for j in range(r.choice((2, 8, 40, 90))))
+            tag = r.choice(("p", "p", "p", "h2", "blockquote", "pre"))
+            parts.append(f"<{tag} class='c{i}'>{words.replace('x', '<i>x</i>', 1)}</{tag}>")
+            want.append(words)
+        parts.append(f"<p>{'long enough to count, ' * 20}</p>")
+        want.append(("long enough to count, " * 20).strip())
+        links = "<ul>" + "".join(f"<li><a href=/{i}>go {i}</a></li>" for i in range(r.randint(3, 30))) + "</ul>"
+        body = "".join(parts)
+        for _ in range(r.randint(0, 3)):
+            body = f"<div class='l{k}'>{body}</div>"
+        page = f"<html><head><title>no</title></head><body><div class='top'>{links}</div><div class='cookie-banner'>We use them</div>{body}<div class='side'>{links}</div><div class='site-footer'>(c)</div></body></html>"
+        assert E.main_text(page).split("\n\n") == want, page
