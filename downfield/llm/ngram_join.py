@@ -13,7 +13,7 @@ order of all tokens (hashed shingles), so a node of which more than n - ceil(t n
    link share g + 1 tokens of extended prefixes, they share a rare one or two frequent ones of one class: all rare tokens and
    two-token combinations within a class are the keys.  g follows the sets' size, so a set has about as many keys as tokens.
 4. Keys of more than one component give candidates, again leaders first; only nodes of different components are candidates
-   after that.  Bounds on size and on tokens that may be shared go before the check of the sets.
+   after that.  Bounds on size and on what can be shared from the key's place on go into the join, before the sets are checked.
 
 Defined results: texts of null or without words have no shingles and are components of their own; a text of fewer than
 five words is one shingle; repeated rows share a component; a component's id is the least doc_id of its rows (null only if
@@ -154,22 +154,29 @@ def combinations(frequent: np.ndarray, n: int) -> np.ndarray:
 
 
 def exact_keys(sets: DataFrame, comps: DataFrame) -> DataFrame:
-    """A cut of key, node, n, left (tokens that another component has too) of the nodes that may link beyond their component."""
+    """A cut of key, node, n, left (tokens that another component has too), room of the nodes that may link beyond their component.
+
+    ``room`` is how many tokens a node can share with another if the key is the first of the order that they share.
+    """
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple[np.ndarray, int, int, int]] = []
+            rows: list[tuple[np.ndarray, int, int, int, np.ndarray]] = []
             for i, (node, n) in enumerate(zip(batch.column("node").to_pylist(), batch.column("n").to_pylist())):
                 rare, often = (np.unique(np.asarray(batch.column(c)[i].values, _I).view(_U)) for c in ("rare", "often"))
                 left = len(rare) + len(often)
                 want = n - need(n) + 1 - (n - left)  # places of the prefix after the single tokens
                 if want <= 0:
                     continue
-                k = rare[:want] if len(rare) >= want else np.concatenate((rare, combinations(often, n)))
-                rows.append((k, node, n, left))
+                room = left - np.arange(len(rare), dtype=_I)
+                if len(rare) >= want:
+                    rows.append((rare[:want], node, n, left, room[:want]))
+                else:
+                    more = combinations(often, n)
+                    rows.append((np.concatenate((rare, more)), node, n, left, np.concatenate((room, np.full(len(more), left)))))
             if rows:
                 times = [len(r[0]) for r in rows]
-                yield pa.record_batch({"key": pa.array(np.concatenate([r[0] for r in rows]).view(_I)), **{c: pa.array(np.repeat(np.array([r[j] for r in rows], _I), times)) for j, c in ((1, "node"), (2, "n"), (3, "left"))}})
+                yield pa.record_batch({"key": pa.array(np.concatenate([r[0] for r in rows]).view(_I)), **{c: pa.array(np.repeat(np.array([r[j] for r in rows], _I), times)) for j, c in ((1, "node"), (2, "n"), (3, "left"))}, "room": pa.array(np.concatenate([r[4] for r in rows]))})
 
     each = sets.select("node", "n", F.explode("hashes").alias("token"))
     entries = each.join(comps, "node", "left").select("token", "node", "n", F.coalesce("component", "node").alias("c"))
@@ -177,7 +184,7 @@ def exact_keys(sets: DataFrame, comps: DataFrame) -> DataFrame:
     often = cut(entries.select("token", "c").distinct().groupBy("token").agg(F.count("*").alias("df")).filter("df > 1").select("token", (F.col("df") > FREQUENT).alias("frequent")), "tokens")
     shared = each.join(often, "token")
     lists = shared.groupBy("node", "n").agg(*(F.collect_list(F.when(x, F.col("token"))).alias(c) for c, x in (("rare", ~F.col("frequent")), ("often", F.col("frequent")))))  # at most a text's own tokens
-    out = cut(lists.mapInArrow(keys, "key long, node long, n long, left long"), "keys")
+    out = cut(lists.mapInArrow(keys, "key long, node long, n long, left long, room long"), "keys")
     discard(often)
     return out
 
@@ -206,14 +213,19 @@ def _may_link(n: str, m: str) -> str:
 
 
 def leader_pairs(keys: DataFrame, comps: DataFrame | None) -> DataFrame:
-    """For each node, the leader of a key that it shares most keys with (and is not in one component with)."""
-    rows = keys.withColumn("order", F.xxhash64("node"))
+    """For each node, the leader it shares most keys with and the most central of all leaders of its keys, if in other components.
+
+    Where it is known how many tokens are a node's own, the node of the least share leads: in a group of copies with edits, that is
+    the one closest to what was copied, which links with all that have few edits.
+    """
+    own = (F.col("n") - F.col("left")) / F.col("n") if "left" in keys.columns else F.lit(0.0)
+    rows = keys.withColumn("order", F.struct(own.alias("own"), F.xxhash64("node").alias("hash")))
     rows = rows if comps is None else rows.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lead = rows.groupBy("key").agg(F.min(F.struct("order", "node", "n", *(["component"] if comps is not None else []))).alias("l"), F.count("*").alias("size")).filter("size > 1")
     met = rows.join(cut(lead.select("key", "l"), "leaders"), "key").filter(f"node != l.node and {_may_link('n', 'l.n')}" + (" and component != l.component" if comps is not None else ""))
-    votes = met.groupBy("node", F.col("l.node").alias("leader")).agg(F.count("*").alias("c"))
-    best = votes.groupBy("node").agg(F.max(F.struct("c", "leader")).alias("m"))
-    return best.select(F.least("node", "m.leader").alias("a"), F.greatest("node", "m.leader").alias("b")).distinct()
+    votes = met.groupBy("node", F.col("l.node").alias("leader")).agg(F.count("*").alias("c"), F.max(-F.col("l.order.own")).alias("central"))
+    best = votes.groupBy("node").agg(F.max(F.struct("c", "leader"))["leader"].alias("most"), F.max(F.struct("central", "c", "leader"))["leader"].alias("central"))
+    return best.select("node", F.explode(F.array("most", "central")).alias("leader")).select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
 
 
 def cross_pairs(keys: DataFrame, comps: DataFrame) -> DataFrame:
@@ -226,7 +238,7 @@ def cross_pairs(keys: DataFrame, comps: DataFrame) -> DataFrame:
     rows = cut(rows.join(cut(mixed, "mixed-keys"), "key", "left_semi"), "mixed-rows")
     x, y = (rows.select("key", *(F.col(c).alias(f"{c}_{s}") for c in rows.columns if c != "key")) for s in "xy")
     s, t = SIMILARITY
-    enough = f"{s + t} * least(left_x, left_y) >= {s} * (n_x + n_y)"
+    enough = f"{s + t} * least(room_x, room_y) >= {s} * (n_x + n_y)"  # holds at the first key that a linked pair shares
     both = x.join(y, "key").filter(f"node_x < node_y and component_x != component_y and {_may_link('n_x', 'n_y')} and {enough}")
     return both.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
 
