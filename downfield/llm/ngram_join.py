@@ -35,6 +35,7 @@ from downfield.llm.shared import bounded_batches, cut, discard
 
 WORDS, SIMILARITY = 5, (3, 4)
 FIRST, FREQUENT, SKETCH = 0.35, 64, 8
+BITS = tuple(f"bits{i}" for i in range(8))
 _LIMIT = np.uint64(int(FIRST * 2**64))
 _U = np.uint64
 _I = np.int64
@@ -154,20 +155,25 @@ def combinations(frequent: np.ndarray, n: int) -> np.ndarray:
 
 
 def exact_keys(sets: DataFrame, comps: DataFrame) -> DataFrame:
-    """A cut of key, node, n, left (tokens that another component has too), room of the nodes that may link beyond their component.
+    """A cut of key, node, n, left (tokens that another component has too), room, bits of the nodes that may link beyond their component.
 
-    ``room`` is how many tokens a node can share with another if the key is the first of the order that they share.
+    ``room`` is how many tokens a node can share with another if the key is the first of the order that they share.  ``BITS`` columns
+    are a bit map of the tokens that another component has too: a bit that the other node lacks is a token that it lacks.
     """
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple[np.ndarray, int, int, int, np.ndarray]] = []
+            maps: list[np.ndarray] = []
             for i, (node, n) in enumerate(zip(batch.column("node").to_pylist(), batch.column("n").to_pylist())):
                 rare, often = (np.unique(np.asarray(batch.column(c)[i].values, _I).view(_U)) for c in ("rare", "often"))
                 left = len(rare) + len(often)
                 want = n - need(n) + 1 - (n - left)  # places of the prefix after the single tokens
                 if want <= 0:
                     continue
+                bits = np.zeros(64 * len(BITS), np.uint8)
+                bits[(np.concatenate((rare, often)) % _U(len(bits))).astype(_I)] = 1
+                maps.append(np.packbits(bits).view(_I))
                 room = left - np.arange(len(rare), dtype=_I)
                 if len(rare) >= want:
                     rows.append((rare[:want], node, n, left, room[:want]))
@@ -176,7 +182,7 @@ def exact_keys(sets: DataFrame, comps: DataFrame) -> DataFrame:
                     rows.append((np.concatenate((rare, more)), node, n, left, np.concatenate((room, np.full(len(more), left)))))
             if rows:
                 times = [len(r[0]) for r in rows]
-                yield pa.record_batch({"key": pa.array(np.concatenate([r[0] for r in rows]).view(_I)), **{c: pa.array(np.repeat(np.array([r[j] for r in rows], _I), times)) for j, c in ((1, "node"), (2, "n"), (3, "left"))}, "room": pa.array(np.concatenate([r[4] for r in rows]))})
+                yield pa.record_batch({"key": pa.array(np.concatenate([r[0] for r in rows]).view(_I)), **{c: pa.array(np.repeat(np.array([r[j] for r in rows], _I), times)) for j, c in ((1, "node"), (2, "n"), (3, "left"))}, "room": pa.array(np.concatenate([r[4] for r in rows])), **{b: pa.array(np.repeat(np.array([m[j] for m in maps], _I), times)) for j, b in enumerate(BITS)}})
 
     each = sets.select("node", "n", F.explode("hashes").alias("token"))
     entries = each.join(comps, "node", "left").select("token", "node", "n", F.coalesce("component", "node").alias("c"))
@@ -184,7 +190,7 @@ def exact_keys(sets: DataFrame, comps: DataFrame) -> DataFrame:
     often = cut(entries.select("token", "c").distinct().groupBy("token").agg(F.count("*").alias("df")).filter("df > 1").select("token", (F.col("df") > FREQUENT).alias("frequent")), "tokens")
     shared = each.join(often, "token")
     lists = shared.groupBy("node", "n").agg(*(F.collect_list(F.when(x, F.col("token"))).alias(c) for c, x in (("rare", ~F.col("frequent")), ("often", F.col("frequent")))))  # at most a text's own tokens
-    out = cut(lists.mapInArrow(keys, "key long, node long, n long, left long, room long"), "keys")
+    out = cut(lists.mapInArrow(keys, "key long, node long, n long, left long, room long, " + ", ".join(f"{b} long" for b in BITS)), "keys")
     discard(often)
     return out
 
@@ -219,10 +225,10 @@ def leader_pairs(keys: DataFrame, comps: DataFrame | None) -> DataFrame:
     the one closest to what was copied, which links with all that have few edits.
     """
     own = (F.col("n") - F.col("left")) / F.col("n") if "left" in keys.columns else F.lit(0.0)
-    rows = keys.withColumn("order", F.struct(own.alias("own"), F.xxhash64("node").alias("hash")))
+    rows = keys.drop(*BITS).withColumn("order", F.struct(own.alias("own"), F.xxhash64("node").alias("hash")))
     rows = rows if comps is None else rows.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lead = rows.groupBy("key").agg(F.min(F.struct("order", "node", "n", *(["component"] if comps is not None else []))).alias("l"), F.count("*").alias("size")).filter("size > 1")
-    met = rows.join(cut(lead.select("key", "l"), "leaders"), "key").filter(f"node != l.node and {_may_link('n', 'l.n')}" + (" and component != l.component" if comps is not None else ""))
+    met = rows.select("key", "node", "n", *(["component"] if comps is not None else [])).join(cut(lead.select("key", "l"), "leaders"), "key").filter(f"node != l.node and {_may_link('n', 'l.n')}" + (" and component != l.component" if comps is not None else ""))
     votes = met.groupBy("node", F.col("l.node").alias("leader")).agg(F.count("*").alias("c"), F.max(-F.col("l.order.own")).alias("central"))
     best = votes.groupBy("node").agg(F.max(F.struct("c", "leader"))["leader"].alias("most"), F.max(F.struct("central", "c", "leader"))["leader"].alias("central"))
     return best.select("node", F.explode(F.array("most", "central")).alias("leader")).select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
@@ -239,7 +245,9 @@ def cross_pairs(keys: DataFrame, comps: DataFrame) -> DataFrame:
     x, y = (rows.select("key", *(F.col(c).alias(f"{c}_{s}") for c in rows.columns if c != "key")) for s in "xy")
     s, t = SIMILARITY
     enough = f"{s + t} * least(room_x, room_y) >= {s} * (n_x + n_y)"  # holds at the first key that a linked pair shares
-    both = x.join(y, "key").filter(f"node_x < node_y and component_x != component_y and {_may_link('n_x', 'n_y')} and {enough}")
+    lacks = lambda a, b: " + ".join(f"bit_count({c}_{a} & ~{c}_{b})" for c in BITS)
+    alike = " and ".join(f"{s + t} * (left_{a} - ({lacks(a, b)})) >= {s} * (n_x + n_y)" for a, b in ("xy", "yx"))
+    both = x.join(y, "key").filter(f"node_x < node_y and component_x != component_y and {_may_link('n_x', 'n_y')} and {enough} and {alike}")
     return both.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
 
 
