@@ -135,12 +135,15 @@ def classes(n: int) -> list[int]:
     return sorted({max(1, (1 << (m.bit_length() - 1)) // 8) for m in sizes})
 
 
-def combinations(frequent: np.ndarray, n: int) -> np.ndarray:
-    """Keys of a set of n tokens of which the (unsorted) ``frequent`` come last in the order."""
+def combinations(frequent: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of a set of n tokens of which the (unsorted) ``frequent`` come last in the order, and their room.
+
+    Of the first g + 1 tokens that linked sets share, two make a key, so at most g come before the later of the two.
+    """
     tokens = np.unique(frequent)
-    rare, out = n - len(tokens), []
+    rare, out, room = n - len(tokens), [np.zeros(0, _U)], [np.zeros(0, _I)]
     if n - need(n) + 1 <= rare:
-        return np.zeros(0, _U)  # its own prefix is rare: what links to it shares a rare token
+        return out[0], room[0]  # its own prefix is rare: what links to it shares a rare token
     for g in classes(n):
         prefix = tokens[: max(0, n - need(n) + 1 + g - rare)]
         order = np.argsort(prefix % _U(g), kind="stable")
@@ -151,7 +154,8 @@ def combinations(frequent: np.ndarray, n: int) -> np.ndarray:
                 break
             a, b = t[on], t[on + gap]
             out.append(B.mix(B.mix(np.minimum(a, b)) + np.maximum(a, b) * _U(3) + _U(g)))
-    return np.concatenate(out) if out else np.zeros(0, _U)
+            room.append(np.minimum(g + len(tokens) - order[on + gap], len(tokens)))
+    return np.concatenate(out), np.concatenate(room)
 
 
 def exact_keys(sets: DataFrame, comps: DataFrame) -> DataFrame:
@@ -178,8 +182,8 @@ def exact_keys(sets: DataFrame, comps: DataFrame) -> DataFrame:
                 if len(rare) >= want:
                     rows.append((rare[:want], node, n, left, room[:want]))
                 else:
-                    more = combinations(often, n)
-                    rows.append((np.concatenate((rare, more)), node, n, left, np.concatenate((room, np.full(len(more), left)))))
+                    more, places = combinations(often, n)
+                    rows.append((np.concatenate((rare, more)), node, n, left, np.concatenate((room, places))))
             if rows:
                 times = [len(r[0]) for r in rows]
                 yield pa.record_batch({"key": pa.array(np.concatenate([r[0] for r in rows]).view(_I)), **{c: pa.array(np.repeat(np.array([r[j] for r in rows], _I), times)) for j, c in ((1, "node"), (2, "n"), (3, "left"))}, "room": pa.array(np.concatenate([r[4] for r in rows])), **{b: pa.array(np.repeat(np.array([m[j] for m in maps], _I), times)) for j, b in enumerate(BITS)}})
@@ -218,7 +222,7 @@ def _may_link(n: str, m: str) -> str:
     return f"{SIMILARITY[1]} * least({n}, {m}) >= {SIMILARITY[0]} * greatest({n}, {m})"
 
 
-def leader_pairs(keys: DataFrame, comps: DataFrame | None) -> DataFrame:
+def leader_pairs(keys: DataFrame, comps: DataFrame | None, votes_least: int = 1) -> DataFrame:
     """For each node, the leader it shares most keys with and the most central of all leaders of its keys, if in other components.
 
     Where it is known how many tokens are a node's own, the node of the least share leads: in a group of copies with edits, that is
@@ -229,7 +233,7 @@ def leader_pairs(keys: DataFrame, comps: DataFrame | None) -> DataFrame:
     rows = rows if comps is None else rows.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lead = rows.groupBy("key").agg(F.min(F.struct("order", "node", "n", *(["component"] if comps is not None else []))).alias("l"), F.count("*").alias("size")).filter("size > 1")
     met = rows.select("key", "node", "n", *(["component"] if comps is not None else [])).join(cut(lead.select("key", "l"), "leaders"), "key").filter(f"node != l.node and {_may_link('n', 'l.n')}" + (" and component != l.component" if comps is not None else ""))
-    votes = met.groupBy("node", F.col("l.node").alias("leader")).agg(F.count("*").alias("c"), F.max(-F.col("l.order.own")).alias("central"))
+    votes = met.groupBy("node", F.col("l.node").alias("leader")).agg(F.count("*").alias("c"), F.max(-F.col("l.order.own")).alias("central")).filter(F.col("c") >= votes_least)
     best = votes.groupBy("node").agg(F.max(F.struct("c", "leader"))["leader"].alias("most"), F.max(F.struct("central", "c", "leader"))["leader"].alias("central"))
     return best.select("node", F.explode(F.array("most", "central")).alias("leader")).select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
 
@@ -263,7 +267,8 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     alive = size.join(own, "node", "left").filter(f"coalesce(own, 0) <= n - ceil(n * {SIMILARITY[0]} / {SIMILARITY[1]})")
     sets = cut(sets_of(docs, cut(alive.select("rep", "node"), "alive")), "sets")
     least = sets.select("node", "n", F.explode(F.slice("hashes", 1, SKETCH)).alias("key"))
-    edges = cut(verify(leader_pairs(least, None), sets), "links")
+    # near copies share most of these; who shares few is left to the exact keys
+    edges = cut(verify(leader_pairs(least, None, 3), sets), "links")
     comps = cut(components(edges), "components")
     keys = exact_keys(sets, comps)
     more = cut(verify(leader_pairs(keys, comps), sets), "links")
