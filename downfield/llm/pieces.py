@@ -4,29 +4,33 @@ The model is a byte-pair one, whose merges a plain sum of piece scores does not
 segmentation in which every two neighbouring pieces are what the merges make of their joined text, so it is the best path of
 a lattice whose nodes are pieces and whose edges weigh 0 where neighbours agree and minus infinity where they do not.
 
-A text of more than ``CHUNK`` characters is split.  Where a chunk ends before a space, no piece crosses and the boundary has
-one state.  Where a run without spaces is too long, the cut falls inside it, and the boundary's states are the pieces that
-end at or reach over the cut.  Each chunk yields the max-plus matrix from its states at one side to those at the other
-(weights 0 and minus infinity, so a set of bits for each state), matrices are combined associatively, and with the states of
-the best path known at every cut, each chunk traces its own pieces back.  Between cuts at spaces, the library itself encodes
-each different space-separated part once.
-
-Defined results: a null text is empty and has no ids; U+2581 is a space, as for the library; repeated rows each get theirs.
+A text of more than ``CHUNK`` characters is cut each ``CHUNK`` characters, wherever in a word that is.  The states of such a cut
+are the pieces that end at or reach over it.  No piece crosses into a space that follows a word, so a boundary there has one
+state, and only what lies between a cut and the spaces around it needs more: each such part yields the max-plus matrix from its
+states at one side to those at the other (weights 0 and minus infinity, so for each state those from which it is reached), the
+matrices of a run of parts are combined associatively, ``FAN`` at a time in rounds, and the states of the best path go back
+down the same tree, so that each part traces its own pieces independently.  Between boundaries of one state, the library itself
+encodes each different space-separated part once.
+
+Defined results: a null text is empty and has no ids; U+2581 is a space, as for the library; repeated rows each get theirs; a
+very long text without any space is one run of parts; of paths that tie there is only one, as merges take the leftmost of equal
+scores; columns named as the new ones are replaced, all others are handed on; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from downfield.llm.shared import cut
+from downfield.llm.shared import bounded_batches, cut
 
-CHUNK = 32768
+CHUNK, FAN = 32768, 64
+#: Characters around a part that its boundary states need: more than two of the longest pieces.
+AROUND = 64
 SPACE = "▁"
 START = END = ("", 0)
 
@@ -52,6 +56,8 @@ class Model:
         self.id = {sp.id_to_piece(i): i for i in range(n) if not special[i]}
         self.score = {p: sp.get_score(i) for p, i in self.id.items()}
         self.longest = max(map(len, self.id))
+        if 2 * self.longest > AROUND:
+            raise ValueError(f"pieces of {self.longest} characters need more than {AROUND} around a part")
         self.byte = {int(sp.id_to_piece(i)[1:-1], 16): i for i in range(n) if sp.is_byte(i)}
         self.unknown = sp.unk_id()
         self.bytes = [bytes([int(sp.id_to_piece(i)[1:-1], 16)]) if sp.is_byte(i) else b"" if sp.is_control(i) else sp.id_to_piece(i).replace(SPACE, " ").encode() for i in range(n)]
@@ -203,32 +209,37 @@ def compose(a: tuple[list, dict], b: tuple[list, dict]) -> tuple[list, dict]:
 
 
 def split_text(text: str, chunk: int) -> list[tuple[int, int, bool]]:
-    """(begin, end, whether the end is a cut inside a run) of chunks of about ``chunk`` characters."""
-    out, begin, n = [], 0, len(text)
-    while begin < n:
-        end = begin + chunk
-        if end >= n:
-            out.append((begin, n, False))
-            break
-        space = text.rfind(" ", begin + 1, end)
-        while space > begin and text[space - 1] == " ":
-            space -= 1
-        if space > begin:
-            end, inside = space, False
-        elif text[end] == " " or text[end - 1] == " ":  # runs of spaces aren't cut
-            m = re.compile("[^ ]").search(text, end)
-            end, inside = (m.start() + 0 if m else n), False
-            end = n if not m else end
-            nxt = text.find(" ", end)
-            end = nxt if nxt != -1 else n
-        else:
-            inside = True
-        out.append((begin, min(end, n), inside))
-        begin = min(end, n)
-    return out
-
+    """(begin, end, whether the end is a cut inside a word) of the parts of a text that is cut each ``chunk`` characters.
 
-_CHUNKS = "rid long, chunk int, run int, text string, begin int, end int, first boolean, last boolean, cut boolean"
+    Around a cut, parts end before the nearest spaces; a cut that meets spaces moves before them.
+    """
+    ends: dict[int, bool] = {}
+    last = 0
+    for cut_at in range(chunk, len(text), chunk):
+        if text[cut_at] == " " or text[cut_at - 1] == " ":
+            while cut_at > last and text[cut_at - 1] == " ":
+                cut_at -= 1
+            if cut_at > last and text[cut_at] == " ":
+                ends[cut_at] = False
+                last = cut_at
+            continue
+        before = text.rfind(" ", last, cut_at)
+        while before > last and text[before - 1] == " ":
+            before -= 1
+        if before > last:
+            ends[before] = False
+        ends[cut_at] = True
+        last = cut_at
+        after = text.find(" ", cut_at, cut_at + chunk)
+        if after != -1:
+            ends[after] = False
+            last = after
+    ends[len(text)] = False
+    at = sorted(ends)
+    return [(b, e, ends[e]) for b, e in zip([0, *at], at) if e > b]
+
+
+_CHUNKS = "rid long, chunk int, run int, place int, text string, begin int, end int, first boolean, last boolean, cut boolean"
 
 
 def _chunks(docs: DataFrame, size: int) -> DataFrame:
@@ -237,14 +248,14 @@ def _chunks(docs: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                text, rows, number, first = text.replace(SPACE, " "), [], 0, True
+                text, rows, number, place, first = text.replace(SPACE, " "), [], 0, 0, True
                 for k, (b, e, inside) in enumerate(split_text(text, size)):
-                    before, after = max(0, b - 64), min(len(text), e + 64)
+                    before, after = max(0, b - AROUND), min(len(text), e + AROUND)
                     part = text[before:after]
                     # the library's leading space: at a text's begin it is added, at a cut before a space it is that space
-                    rows.append((rid, k, number, part, b - before, e - before, first, not inside, inside or not first))
-                    number, first = number + (not inside), not inside
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=[x.split()[0] for x in _CHUNKS.split(", ")]).cast(pa.schema([("rid", pa.int64()), ("chunk", pa.int32()), ("run", pa.int32()), ("text", pa.string()), ("begin", pa.int32()), ("end", pa.int32()), ("first", pa.bool_()), ("last", pa.bool_()), ("cut", pa.bool_())]))
+                    rows.append((rid, k, number, place, part, b - before, e - before, first, not inside, inside or not first))
+                    number, place, first = number + (not inside), place + 1 if inside else 0, not inside
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=[x.split()[0] for x in _CHUNKS.split(", ")]).cast(pa.schema([("rid", pa.int64()), ("chunk", pa.int32()), ("run", pa.int32()), ("place", pa.int32()), ("text", pa.string()), ("begin", pa.int32()), ("end", pa.int32()), ("first", pa.bool_()), ("last", pa.bool_()), ("cut", pa.bool_())]))
 
     return docs.mapInArrow(run, _CHUNKS)
 
@@ -261,10 +272,68 @@ def _lattice_text(r: dict) -> tuple[str, int, int]:
     return text.replace(" ", SPACE), b, e
 
 
-def _encode_long(docs: DataFrame, path: str, size: int) -> DataFrame:
-    """rid and ids of each long text (rid, text)."""
-    from ast import literal_eval
+_STATE = "struct<p:string,o:int>"
+_MATRIX = f"rid long, run int, chunk int, into array<{_STATE}>, out array<struct<p:string,o:int,of:array<int>>>"
+_KNOWN = "rid long, run int, chunk int, s_piece string, s_over int, t_piece string, t_over int"
+
+
+def _packed(keys: list[tuple], matrices: list[tuple[list, dict]]) -> pa.RecordBatch:
+    """Rows of ``_MATRIX``: the states before, and for each state after it the places of the former from which it is reached."""
+    state = [("p", pa.string()), ("o", pa.int32())]
+    into = [[{"p": p, "o": o} for p, o in m[0]] for m in matrices]
+    out = [[{"p": p, "o": o, "of": [k for k in range(len(m[0])) if bits >> k & 1]} for (p, o), bits in m[1].items()] for m in matrices]
+    ids = [pa.array(c, t) for c, t in zip(zip(*keys), (pa.int64(), pa.int32(), pa.int32()))]
+    return pa.RecordBatch.from_arrays([*ids, pa.array(into, pa.list_(pa.struct(state))), pa.array(out, pa.list_(pa.struct([*state, ("of", pa.list_(pa.int32()))])))], names=["rid", "run", "chunk", "into", "out"])
+
+
+def _unpacked(row: dict) -> tuple[list, dict]:
+    return [(x["p"], x["o"]) for x in row["into"]], {(x["p"], x["o"]): sum(1 << k for k in x["of"]) for x in row["out"]}
+
+
+def _path(each: list[tuple[list, dict]], begin: tuple[str, int], to: tuple[str, int]) -> list[tuple[tuple, tuple]]:
+    """The states before and after each of some matrices in a row, on the path from ``begin`` to ``to``."""
+    prefix = [each[0]]
+    for m in each[1:]:
+        prefix.append(compose(prefix[-1], m))
+    first, out = 1 << each[0][0].index(begin), []
+    for k in range(len(each) - 1, -1, -1):
+        into, matrix = each[k]
+        state = next(s for i, s in enumerate(into) if matrix[to] >> i & 1 and prefix[k - 1][1].get(s, 0) & first) if k else begin
+        out.append((state, to))
+        to = state
+    return out[::-1]
 
+
+def known_states(matrices: DataFrame, fan: int = FAN) -> DataFrame:
+    """The states before and after each part (rid, run, chunk) on its run's best path, by a tree of compositions."""
+
+    def combined(group: pa.Table) -> pa.Table:
+        rows = sorted(group.to_pylist(), key=lambda r: r["chunk"])
+        whole = _unpacked(rows[0])
+        for r in rows[1:]:
+            whole = compose(whole, _unpacked(r))
+        return pa.Table.from_batches([_packed([(rows[0]["rid"], rows[0]["run"], rows[0]["chunk"] // fan)], [whole])])
+
+    def states(group: pa.Table) -> pa.Table:
+        rows = sorted(group.to_pylist(), key=lambda r: r["chunk"])
+        begin = (rows[0]["s_piece"], rows[0]["s_over"]) if "s_piece" in rows[0] else START
+        to = (rows[0]["t_piece"], rows[0]["t_over"]) if "s_piece" in rows[0] else END
+        found = _path([_unpacked(r) for r in rows], begin, to)
+        out = [(r["rid"], r["run"], r["chunk"], s[0], s[1], t[0], t[1]) for r, (s, t) in zip(rows, found)]
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.int32()))], names=[x.split()[0] for x in _KNOWN.split(", ")])
+
+    longest = matrices.groupBy("rid", "run").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if longest <= fan:
+        return matrices.groupBy("rid", "run").applyInArrow(states, _KNOWN)
+    # parts are numbered within their run, so that a group has ``fan`` of them at most
+    upper = cut(matrices.groupBy("rid", "run", F.floor(F.col("chunk") / fan)).applyInArrow(combined, _MATRIX), "pieces-matrices")
+    ends = known_states(upper, fan).withColumnRenamed("chunk", "g")
+    within = matrices.withColumn("g", F.floor(F.col("chunk") / fan).cast("int")).join(ends, ["rid", "run", "g"])
+    return within.groupBy("rid", "run", "g").applyInArrow(states, _KNOWN)
+
+
+def _encode_long(docs: DataFrame, path: str, size: int, fan: int = FAN) -> DataFrame:
+    """rid and ids of each long text (rid, text)."""
     chunks = cut(_chunks(docs, size), "pieces-chunks")
     spread = chunks.repartition("rid", "chunk")
 
@@ -272,21 +341,7 @@ def _encode_long(docs: DataFrame, path: str, size: int) -> DataFrame:
         model = Model.at(path)
         for batch in few(batches, 32):
             rows = batch.to_pylist()
-            made = [repr(model.transfer(*_lattice_text(r), r["first"], r["last"])) for r in rows]
-            yield pa.record_batch({"rid": pa.array([r["rid"] for r in rows], pa.int64()), "chunk": pa.array([r["chunk"] for r in rows], pa.int32()), "run": pa.array([r["run"] for r in rows], pa.int32()), "matrix": pa.array(made, pa.string())})
-
-    def states(group: pa.Table) -> pa.Table:
-        rows = sorted(group.to_pylist(), key=lambda r: r["chunk"])
-        each = [literal_eval(r["matrix"]) for r in rows]
-        prefix = list(accumulate(each, compose))  # from the run's start to the end of each chunk
-        to, out = END, []
-        for k in range(len(rows) - 1, -1, -1):
-            into, matrix = each[k]
-            reached = prefix[k - 1][1] if k else {START: 1}
-            state = next(s for i, s in enumerate(into) if matrix[to] >> i & 1 and reached.get(s))
-            out.append((rows[k]["rid"], rows[k]["chunk"], state[0], state[1], to[0], to[1]))
-            to = state
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.int32()))], names=["rid", "chunk", "s_piece", "s_over", "t_piece", "t_over"])
+            yield _packed([(r["rid"], r["run"], r["place"]) for r in rows], [model.transfer(*_lattice_text(r), r["first"], r["last"]) for r in rows])
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model.at(path)
@@ -302,18 +357,19 @@ def _encode_long(docs: DataFrame, path: str, size: int) -> DataFrame:
                     out.append(np.array(got, np.int32).tobytes())
             yield pa.record_batch({"rid": batch.column("rid"), "chunk": batch.column("chunk"), "ids": pa.array(out, pa.binary())})
 
-    inside = spread.filter("cut").mapInArrow(matrices, "rid long, chunk int, run int, matrix string")
-    known = inside.groupBy("rid", "run").applyInArrow(states, "rid long, chunk int, s_piece string, s_over int, t_piece string, t_over int")
-    traced = spread.join(known, ["rid", "chunk"], "left").mapInArrow(ids, "rid long, chunk int, ids binary")
+    made = cut(spread.filter("cut").mapInArrow(matrices, _MATRIX), "pieces-matrices")
+    known = known_states(made, fan).withColumnRenamed("chunk", "place")
+    traced = spread.join(known, ["rid", "run", "place"], "left").mapInArrow(ids, "rid long, chunk int, ids binary")
     # a text's chunks meet again in one row, as the text itself did
     return traced.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("chunk", "ids"))).alias("parts")).select("rid", F.expr("aggregate(parts, x'', (a, p) -> concat(a, p.ids))").alias("ids"))
 
 
-def encode(docs: DataFrame, model: str, text: str = "text", ids: str = "ids", chunk: int = CHUNK, round_trip: str = "") -> DataFrame:
+def encode(docs: DataFrame, model: str, text: str = "text", ids: str = "ids", chunk: int = CHUNK, round_trip: str = "", fan: int = FAN) -> DataFrame:
     """The columns of ``docs`` and the ids of each whole text as an array of integers; columns so named before are replaced.
 
     ``round_trip`` names a column to tell whether decoding the ids gives the text, found where the text is encoded.
     """
+    bounded_batches(docs.sparkSession)
     new = [ids, *([round_trip] if round_trip else [])]
     keep = [c for c in docs.columns if c not in new]
     whole = docs.select(*keep, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"))
@@ -341,7 +397,7 @@ def encode(docs: DataFrame, model: str, text: str = "text", ids: str = "ids", ch
     out_schema = (f"{fields}, " if keep else "") + f"`{ids}` array<int>" + (f", `{round_trip}` boolean" if round_trip else "")
     short = whole.filter(~is_long).mapInArrow(run, out_schema)
     long = cut(whole.filter(is_long).withColumn("__rid", F.monotonically_increasing_id()), "pieces-long")
-    done = _encode_long(long.select(F.col("__rid").alias("rid"), F.col("__text").alias("text")), model, chunk)
+    done = _encode_long(long.select(F.col("__rid").alias("rid"), F.col("__text").alias("text")), model, chunk, fan)
     joined = long.join(done, long["__rid"] == done["rid"]).select(*(long[c] for c in keep), long["__text"], done["ids"].alias("__ids")).mapInArrow(unpacked, out_schema)
     return short.unionByName(joined)
 

@@ -46,8 +46,8 @@ def test_chunked_texts_equal_the_library(spark):
     m = P.Model.at(PATH)
     rows = X.AWKWARD[:11] + texts(60, 2, 400) + ["a" * 1000, " " * 500, "ab" + " " * 300 + "cd", "x" + "▁" * 90, "\n" * 200, "a b" * 100, "0123456789" * 40 + " " + "é" * 200]
     docs = X.docs(spark, rows).withColumnRenamed("hits", "ids")
-    for chunk in (50, 97, P.CHUNK):
-        got = P.decode(P.encode(docs, PATH, chunk=chunk, round_trip="round_trip"), PATH).collect()
+    for chunk, fan in ((50, 2), (97, 3), (61, P.FAN), (P.CHUNK, P.FAN)):
+        got = P.decode(P.encode(docs, PATH, chunk=chunk, round_trip="round_trip", fan=fan), PATH).collect()
         assert len(got) == len(rows) and "n_words" in got[0].asDict()
         for r in got:
             t = (r["text"] or "").replace(P.SPACE, " ")
@@ -57,3 +57,31 @@ def test_chunked_texts_equal_the_library(spark):
 
 def test_empty(spark):
     assert P.decode(P.encode(X.empty(spark), PATH), PATH).count() == 0
+
+
+def test_parts_cover_the_text():
+    r = random.Random(4)
+    for t in texts(200, 6, 300) + ["a" * 300, " " * 300, "a " * 150]:
+        for chunk in (7, 20, 64):
+            got = P.split_text(t, chunk)
+            assert [b for b, _, _ in got] == [0, *(e for _, e, _ in got[:-1])] and got[-1][1:] == (len(t), False)
+            for b, e, inside in got[:-1]:
+                assert (t[e] != " " and t[e - 1] != " ") if inside else (t[e] == " " and t[e - 1] != " ")
+    assert r
+
+
+def test_giant_texts_go_through_matrices(spark):
+    """The long texts of the tables are cut inside words, and the registered query's ids are the library's."""
+    import os
+
+    path = "/root/testdata/sf0.1/documents.parquet"
+    if not os.path.exists(path):
+        return
+    docs = spark.read.parquet(path).filter(f"length(text) > {P.CHUNK}").select("doc_id", "text")
+    rows = docs.collect()
+    m = P.Model.at(PATH)
+    chunks = P._chunks(docs.selectExpr("doc_id rid", "text"), P.CHUNK).filter("cut")
+    inside = {r["doc_id"] for r in rows if any(" " not in r["text"][k - 1 : k + 1] for k in range(P.CHUNK, len(r["text"]), P.CHUNK))}
+    assert {r["rid"] for r in chunks.collect()} == inside and len(inside) > 3
+    got = {r["doc_id"]: r["ids"] for r in P.encode(docs, PATH).collect()}
+    assert got == {r["doc_id"]: m.library.encode(r["text"]) for r in rows}
