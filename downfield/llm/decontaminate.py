@@ -6,8 +6,10 @@ asked for, so the necessary prefix is the rarest shingle alone: a document that
 Documents look up that prefix token, its place in the window gives the only place where the window can begin (positional
 bound), the window has to end inside the text (length bound), and the words are compared one by one.
 
-Defined results: a null text has no words; an item without words or with a null id has no windows; an empty benchmark or
-document table gives no hits or no rows; repeated rows each get their result; other columns are not read.
+Defined results: a null text has no words; an item without words or with a null id has no windows; items of equal windows all
+count; of a window's shingles that tie in rarity the one of the least hash is the prefix; very long texts are read whole; an
+empty benchmark or document table gives no hits or no rows; repeated rows each get their result; columns named as the new ones
+are replaced, other columns are handed on unread.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from downfield.llm import bytetext as B
-from downfield.llm.shared import cut
+from downfield.llm.shared import bounded_batches, cut, discard
 
 WINDOW, SHINGLE = 10, 5
 #: Windows in one broadcast index; a larger benchmark is taken in blocks of this many, each of bounded size.
@@ -152,14 +154,14 @@ def _match(docs: DataFrame, shared) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """Columns of ``docs`` with n_words, hits (places of hit words) and items (sorted ids of items that occur).
+    """Columns of ``docs`` with n_words, hits (places of hit words) and items (sorted ids of items that occur); columns so named before are replaced.
 
     One pass over the texts counts rarity, one finds the windows; a benchmark of more than ``block_windows`` windows adds a
     chained narrow pass per block, never a shuffle of the texts.
     """
     spark = docs.sparkSession
-    clash = {c: f"__{c}" for c in ("n_words", "hits", "items") if c in docs.columns}
-    out = docs.withColumnsRenamed(clash).withColumns({"text": F.col("text").cast("string"), "n_words": F.lit(0).cast("long"), "hits": F.array().cast("array<int>"), "items": F.array().cast("array<long>")})
+    bounded_batches(spark)
+    out = docs.withColumns({"text": F.col("text").cast("string"), "n_words": F.lit(0).cast("long"), "hits": F.array().cast("array<int>"), "items": F.array().cast("array<long>")})
     all_windows = cut(item_windows(benchmark, window), "windows")
     blocks = max(1, -(-all_windows.count() // block_windows))
     for b in range(blocks):
@@ -171,6 +173,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
             keys.setdefault(min(shingle, len(h)), set()).update(_window_shingles(h, shingle).tolist())
         times = rarity(docs, {n: np.array(sorted(k), _U) for n, k in keys.items()}) if windows else {}
         out = _match(out, spark.sparkContext.broadcast(_index(windows, times, shingle)))
+    discard(all_windows)
     return out
 
 
