@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Play categories.
 SCRIMMAGE = ("run", "pass", "no_play")
@@ -38,9 +38,13 @@ def finite(c: str | Column) -> Column:
     return F.when(F.isnan(c) | (F.abs(c) == float("inf")), F.lit(None)).otherwise(c)
 
 
-def players(c: str | Column, separator: str = ";") -> Column:
-    """A delimited list as an array; null is an empty array, empty elements stay (see ``without_empty``)."""
-    return F.coalesce(F.split(col(c), separator), F.array().cast("array<string>"))
+def players(c: str | Column, separator: str = ";", of: DataFrame | None = None) -> Column:
+    """A list as an array; null is an empty array, empty elements stay (see ``without_empty``).
+
+    A delimited string is split; with the frame that a named column is ``of``, an array is taken as it is.
+    """
+    listed = of is not None and isinstance(c, str) and dict(of.dtypes)[c].startswith("array")
+    return F.coalesce(col(c).cast("array<string>") if listed else F.split(col(c), separator), F.array().cast("array<string>"))
 
 
 def without_empty(c: str | Column) -> Column:

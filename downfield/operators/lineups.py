@@ -17,12 +17,10 @@ FLEX = ("RB/FLEX", "WR/FLEX", "TE/FLEX")
 FOCUS = ("QB", "RB/FLEX", "WR/FLEX", "TE/FLEX")
 PER_FOCUS, ATTEMPTS, SALARY_CAP, MAX_USAGE = 5, 10, 60000, 50.0
 OUT = ("IR", "O", "D")
-#: Candidates of a position that a search can look at; the search itself takes at most a few per lineup.
-POOL = 500
 RESULT = "slate string, lineup_id int, slot int, position string, nickname string, salary double, lineup_points double, injury string"
 
 
-def candidates(slate: DataFrame, exclude: Iterable[str] = (), pool: int = POOL) -> DataFrame:
+def candidates(slate: DataFrame, exclude: Iterable[str] = ()) -> DataFrame:
     """Healthy players with salary and points, by value; slate columns are slate, nickname, position, salary, fppg, injury, predicted."""
     out = not_listed(slate, "injury", OUT)
     out = out.withColumns({c: finite(F.col(c).cast("double")) for c in ("salary", "fppg", "predicted")}).dropna(subset=["salary", "fppg", "position", "nickname"])
@@ -32,7 +30,7 @@ def candidates(slate: DataFrame, exclude: Iterable[str] = (), pool: int = POOL)
     out = out.withColumn("value", value_per("lineup_points", "salary"))
     by_value = Window.partitionBy("slate", "position").orderBy(F.desc_nulls_last("value"), "nickname")
     by_points = Window.partitionBy("slate", "position").orderBy(F.desc_nulls_last("lineup_points"), "nickname")
-    return out.withColumns({"value_rank": F.row_number().over(by_value), "points_rank": F.row_number().over(by_points)}).filter((F.col("value_rank") <= pool) | (F.col("points_rank") <= PER_FOCUS))
+    return out.withColumns({"value_rank": F.row_number().over(by_value), "points_rank": F.row_number().over(by_points)})
 
 
 class Search:
@@ -110,4 +108,4 @@ def optimize(slate: DataFrame, lineups: int, salary_cap: float = SALARY_CAP, exc
         return pd.DataFrame(rows, columns=[x.split()[0] for x in RESULT.split(", ")])
 
     pool = candidates(slate, exclude).select("slate", "nickname", "position", "salary", "lineup_points", "injury", "value")
-    return pool.groupBy("slate").applyInPandas(search, RESULT)  # a slate's pool is bounded by its positions
+    return pool.groupBy("slate").applyInPandas(search, RESULT)  # a slate is a contest's list of players, all of whom a search may take

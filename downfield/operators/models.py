@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 
 from pyspark.errors import AnalysisException
@@ -84,7 +85,7 @@ class Regressors:
         self.features.write().overwrite().save(f"{at}/features")
         for s, m in self.models.items():
             m.write().overwrite().save(f"{at}/model={s}")
-        meta = [(c, "numeric", self.scaler.centre[c], self.scaler.scale[c]) for c in self.numeric] + [(c, "categorical", None, None) for c in self.categorical] + [(s, "model", None, None) for s in self.models] + [(self.kind, "kind", None, None)]
+        meta = [(c, "numeric", self.scaler.centre[c], self.scaler.scale[c]) for c in self.numeric] + [(c, "categorical", None, None) for c in self.categorical] + [(s, "model", None, None) for s in self.models] + [(self.kind, "kind", None, None), (json.dumps(self.params, sort_keys=True), "params", None, None)]
         spark.createDataFrame(meta, "name string, role string, centre double, scale double").coalesce(1).write.mode("overwrite").parquet(f"{at}/meta")
 
     @classmethod
@@ -95,7 +96,7 @@ class Regressors:
         except AnalysisException:
             return None
         of = lambda role: [r for r in meta if r["role"] == role]
-        out = cls([r["name"] for r in of("numeric")], [r["name"] for r in of("categorical")], of("kind")[0]["name"])
+        out = cls([r["name"] for r in of("numeric")], [r["name"] for r in of("categorical")], of("kind")[0]["name"], **json.loads(of("params")[0]["name"]))
         out.scaler = Scaler({r["name"]: r["centre"] for r in of("numeric")}, {r["name"]: r["scale"] for r in of("numeric")})
         out.features = PipelineModel.load(f"{path}/{version}/features")
         out.models = {r["name"]: PipelineModel.load(f"{path}/{version}/model={r['name']}") for r in of("model")}

@@ -15,7 +15,7 @@ def prepared(plays: DataFrame) -> DataFrame:
     out = plays.withColumn("category", cat)
     out = out.withColumns({
         "pos": S.resolved_team("posteam", "defteam", "category"), "def": S.resolved_team("defteam", "posteam", "category"),
-        "off_list": S.without_empty(S.players("offense_players")), "def_list": S.without_empty(S.players("defense_players")),
+        "off_list": S.without_empty(S.players("offense_players", of=plays)), "def_list": S.without_empty(S.players("defense_players", of=plays)),
     })
     return out.filter((F.col("category") == "special_teams") | F.col("posteam").isNotNull() | F.col("defteam").isNotNull())
 
@@ -43,7 +43,7 @@ def player_teams(plays: DataFrame, team_rule: str = "first_posteam") -> DataFram
     ``team_rule='side'`` takes the team of the side that lists the player, in the first play with one.
     """
     lists = {"offense_players": "posteam", "defense_players": "defteam" if team_rule == "side" else "posteam"}
-    rows = plays.select("game_id", "play_seq", F.explode(F.concat(*(F.transform(S.without_empty(S.players(c)), _with_team(F.col(t), k)) for k, (c, t) in enumerate(lists.items())))).alias("p"))
+    rows = plays.select("game_id", "play_seq", F.explode(F.concat(*(F.transform(S.without_empty(S.players(c, of=plays)), _with_team(F.col(t), k)) for k, (c, t) in enumerate(lists.items())))).alias("p"))
     order = F.struct("play_seq", "p.k")  # of both sides of one play the offence comes first
     chosen = F.min_by("p.team", order if team_rule != "side" else F.when(F.col("p.team").isNotNull(), order))
     return rows.groupBy("game_id", F.col("p.player_id").alias("player_id")).agg(chosen.alias("team"))
@@ -67,5 +67,5 @@ def snap_counts(plays: DataFrame, team_rule: str = "first_posteam") -> DataFrame
 
 def simple_counts(plays: DataFrame) -> DataFrame:
     """player_id, season, week, snaps: plays of any kind that list the player, each once."""
-    everyone = S.without_empty(F.array_distinct(F.concat(S.players("offense_players"), S.players("defense_players"))))
+    everyone = S.without_empty(F.array_distinct(F.concat(S.players("offense_players", of=plays), S.players("defense_players", of=plays))))
     return plays.select("season", "week", F.explode(everyone).alias("player_id")).groupBy("player_id", "season", "week").agg(F.count("*").alias("snaps"))

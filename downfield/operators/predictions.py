@@ -16,22 +16,33 @@ POSITION_STATS = {"QB": ("passing_yards", "attempts", "completions"), "RB": ("ru
 ACTIVE = ("ACT", "Active")
 
 
-def candidates(roster: DataFrame, facts: DataFrame, season: int, week: int, fallback_season: int, name_match: str = "id", positions: Sequence[str] = tuple(POSITION_STATS)) -> DataFrame:
+def candidates(roster: DataFrame, facts: DataFrame, season: int, week: int, fallback_season: int, name_match: str = "id", positions: Sequence[str] = tuple(POSITION_STATS), roster_order: str = "player_id") -> DataFrame:
     """Active roster players with the row their prediction starts from; a player repeated on the roster comes once.
 
-    ``name_match='regex_first'`` finds a player's id as the first roster row whose name contains the player's, in any case.
+    ``name_match='regex_first'`` finds a player's id as the first roster row, by ``roster_order``, whose name contains the player's.
     """
     active = roster.filter(F.col("status").isin(*ACTIVE) & F.col("position").isin(*positions))
     if name_match == "regex_first":
-        every = roster.select(F.col("player_id").alias("found_id"), F.col("player_name").alias("found_name"), F.monotonically_increasing_id().alias("__o"))
-        hit = active.select("player_name").distinct().join(every, F.expr("found_name rlike concat('(?i)', player_name)"))
-        first = hit.groupBy("player_name").agg(F.min_by("found_id", "__o").alias("player_id"))
-        active = active.drop("player_id").join(first, "player_name")
+        active = active.drop("player_id").join(first_containing(active.select("player_name"), roster, "player_name", "player_name", "player_id", roster_order).withColumnRenamed("found", "player_id"), "player_name")
     wanted = active.select("player_id", "player_name", F.col("position"), F.col("team")).distinct()
     rows = facts.drop("player_name", "position", "team")
     return fallback_lookup(wanted, rows, "player_id", season, week, fallback_season)
 
 
+def first_containing(names: DataFrame, among: DataFrame, name: str, found_name: str, found: str, order: str) -> DataFrame:
+    """name and found: the first row by ``order`` whose name contains each name as a pattern, in any case.
+
+    A name's first run of up to three letters is in whatever contains it, so rows meet by runs of letters before the patterns are
+    tried; names without a letter have an empty run.
+    """
+    run = F.regexp_extract(F.lower("__name"), "[a-z]{3}|[a-z]{2}|[a-z]", 0)
+    own = names.select(F.col(name).alias("__name")).distinct().withColumn("__run", run)
+    every = among.select(F.lower(F.col(found_name)).alias("__low"), F.col(found_name).alias("__found_name"), F.col(found).alias("found"), F.col(order).alias("__o"))
+    runs = F.expr("array_distinct(concat(array(''), flatten(transform(array(1, 2, 3), n -> transform(sequence(1, greatest(length(__low), 1)), i -> substring(__low, i, n))))))")
+    hit = own.join(every.withColumn("__run", F.explode(runs)).drop("__low"), "__run").filter("__found_name rlike concat('(?i)', __name)")
+    return hit.groupBy(F.col("__name").alias(name)).agg(F.min_by("found", F.struct("__o", "found")).alias("found"))
+
+
 def predict_week(models: Regressors, rows: DataFrame, stats: Sequence[str], season: int, week: int) -> DataFrame:
     """Predictions stamped with week and season, floored and rounded."""
     out = finished(models.predict(rows, ["player_id", "player_name", "position"]), stats)
@@ -59,4 +70,4 @@ def comparison(predictions: DataFrame, actuals: DataFrame, name: str = "player_d
     return detail, mse(detail, "predicted_stat", "actual_stat", "position")
 
 
-__all__ = ["ACTIVE", "POSITION_STATS", "candidates", "compare", "comparison", "fantasy", "first_by_depth", "predict_week"]
+__all__ = ["ACTIVE", "POSITION_STATS", "candidates", "compare", "comparison", "fantasy", "first_by_depth", "first_containing", "predict_week"]

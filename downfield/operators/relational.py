@@ -104,8 +104,10 @@ def among(df: DataFrame, column: str, *members: Column, of: DataFrame) -> DataFr
 
 
 def positional_join(left: DataFrame, right: DataFrame, left_order: Sequence, right_order: Sequence, suffix: str = "_2") -> DataFrame:
-    """Full join by row number in the given orders; for small tables, since a total order is one task's work."""
-    rank = lambda d, o: d.withColumn("__n", F.row_number().over(Window.orderBy(*o)))
+    """Full join by row number in the given orders."""
+    from downfield.operators.windows import numbered
+
+    rank = lambda d, o: numbered(d, o, "__n")
     b = right.withColumnsRenamed({c: c + suffix for c in right.columns if c in left.columns})
     order = [o + suffix if isinstance(o, str) and o in left.columns and o in right.columns else o for o in right_order]
     return rank(left, left_order).join(rank(b, order), "__n", "full").drop("__n")

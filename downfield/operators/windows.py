@@ -36,9 +36,35 @@ def first_n(df: DataFrame, n: int, keys: Sequence[str], order: Sequence) -> Data
     return df.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= n).drop("__r")
 
 
+#: Ranges that a total order is cut into, and the accuracy of their ends.
+RANGES, RANGE_ACCURACY = 200, 10_000
+
+
+def numbered(df: DataFrame, order: Sequence, name: str = "number", by: str | None = None, descending: bool = False) -> DataFrame:
+    """Row number from 1 in a total order, without one task that sees all rows.
+
+    ``by`` is the order's first column where that is a number (``order`` itself if it is named there): its approximate quantiles cut
+    the rows into ranges, each range is counted, and rows are numbered within theirs.  Equal values lie in one range.  An order that
+    begins with no number is taken by one task.
+    """
+    kinds = dict(df.dtypes)
+    by = by or (order[0] if isinstance(order[0], str) else None)
+    if by is None or not any(kinds.get(by, "").startswith(k) for k in ("bigint", "int", "smallint", "double", "float", "decimal")):
+        return df.withColumn(name, F.row_number().over(Window.orderBy(*order)))
+    cuts = df.agg(F.percentile_approx(by, [k / RANGES for k in range(1, RANGES)], RANGE_ACCURACY).alias("__cuts"))
+    place = F.expr(f"size(filter(__cuts, c -> c {'>=' if descending else '<='} `{by}`))")
+    # nulls are before all in ascending and after all in descending order
+    bucket = F.when(F.col(by).isNull(), RANGES + 1 if descending else -1).otherwise(F.coalesce(place, F.lit(0)))
+    cut = df.crossJoin(F.broadcast(cuts)).withColumn("__range", bucket).drop("__cuts")
+    counts = cut.groupBy("__range").agg(F.count("*").alias("__n"))  # a row for each range
+    before = counts.select(F.col("__range"), F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    within = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    return cut.withColumn("__k", within).join(F.broadcast(before), "__range").withColumn(name, (F.col("__before") + F.col("__k")).cast("long")).drop("__range", "__k", "__before")
+
+
 def ranked(df: DataFrame, by: str, *ties: str, name: str = "rank") -> DataFrame:
-    """Place in a stable descending sort: equal values keep the order of the ties. All rows are ranked together, so first reduce them."""
-    return df.withColumn(name, F.row_number().over(Window.orderBy(F.desc_nulls_last(by), *ties)))
+    """Place in a stable descending sort: equal values keep the order of the ties."""
+    return numbered(df, [F.desc_nulls_last(by), *ties], name, by, descending=True)
 
 
 def sleepers(predictions: DataFrame, adp: DataFrame, key: str, points: str, threshold: int = 20) -> DataFrame:
@@ -61,10 +87,10 @@ def latest_non_null(df: DataFrame, keys: Sequence[str], order: str, columns: Seq
 
 
 def positional_split(df: DataFrame, order: Sequence, share: float = 0.8) -> DataFrame:
-    """``part`` is train for the first int(share * rows) in order, else test; a total order, so for bounded tables."""
-    w = Window.orderBy(*order)
-    n = F.count("*").over(Window.partitionBy())
-    return df.withColumn("part", F.when(F.row_number().over(w) <= F.floor(share * n), "train").otherwise("test"))
+    """``part`` is train for the first int(share * rows) in order, else test."""
+    n = df.agg(F.floor(share * F.count("*")).alias("__train"))
+    out = numbered(df, order, "__number").crossJoin(F.broadcast(n))
+    return out.withColumn("part", F.when(F.col("__number") <= F.col("__train"), "train").otherwise("test")).drop("__number", "__train")
 
 
 def hash_split(df: DataFrame, key: str, share: float = 0.8, seed: int = 42) -> DataFrame:

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from downfield.functions import scalars as S
-from downfield.operators import features, lineups, metrics as M, models, participation, relational as R, windows as W
+from downfield.operators import features, lineups, metrics as M, models, participation, predictions, relational as R, windows as W
+from downfield.sources.scratch import scratch
 from downfield.streaming import incremental
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -209,8 +210,7 @@ def update_coalesce(spark, d):
 @query
 def name_containment_first(spark, d):
     own = t(spark, d, "nation")
-    hit = own.alias("a").join(own.alias("b"), F.expr("b.n_name rlike concat('(?i)', a.n_name)"))
-    return hit.groupBy(F.col("a.n_nationkey").alias("n_nationkey")).agg(F.min("b.n_nationkey").alias("found"))
+    return own.join(predictions.first_containing(own, own, "n_name", "n_name", "n_nationkey", "n_nationkey"), "n_name").select("n_nationkey", "found")
 
 
 # set operations
@@ -503,9 +503,7 @@ def lineup_search(spark, d):
 @query
 def stream_upsert(spark, d):
     """Two deliveries of weeks through a stream, the second of which replaces the first's."""
-    from uuid import uuid4
-
-    root = (spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/downfield").rstrip("/") + f"/stream-{uuid4().hex}"
+    root = scratch(spark, "stream")
     e = events(spark, d).select("event_id", "user_id", "ts", F.col("week").cast("string").alias("week"), "value")
     for k, batch in enumerate((e, e.filter(F.col("week") < "2024-02").withColumn("value", F.col("value") + 1))):
         batch.write.parquet(f"{root}/landing/{k}")

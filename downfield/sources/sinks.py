@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
+
+from downfield.operators.windows import numbered
 
 
 def csv(df: DataFrame, path: str, index_by: Sequence[str] | None = None, one_file: bool = False) -> None:
     """CSV with a header; with an order given, a first column counts rows from 0. One file only for small results."""
     if index_by is not None:
-        df = df.select((F.row_number().over(Window.orderBy(*index_by)) - 1).alias("index"), "*")
+        df = numbered(df, index_by, "index").select((F.col("index") - 1).alias("index"), *df.columns)
     (df.coalesce(1) if one_file else df).write.mode("overwrite").option("header", True).csv(path)
 
 
@@ -33,5 +35,8 @@ def lineup_report(lineups: DataFrame) -> DataFrame:
 
 
 def rows(df: DataFrame, most: int = 100_000) -> list[list]:
-    """A small result as lists, at the edge only."""
-    return [list(r) for r in df.limit(most).collect()]
+    """A small result as lists, at the edge only; one of more rows than ``most`` is an error, and nothing is cut off."""
+    got = [list(r) for r in df.limit(most + 1).collect()]
+    if len(got) > most:
+        raise ValueError(f"more than {most} rows are no small result")
+    return got

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from downfield.functions.scalars import number, season_of_game
 
+# Names of the sport's published columns.
 STATS = (
     "completions attempts passing_yards passing_tds interceptions sacks sack_yards sack_fumbles sack_fumbles_lost passing_air_yards passing_yards_after_catch passing_first_downs passing_2pt_conversions "
     "carries rushing_yards rushing_tds rushing_fumbles rushing_fumbles_lost rushing_first_downs rushing_2pt_conversions receptions targets receiving_yards receiving_tds receiving_fumbles receiving_fumbles_lost "
@@ -29,6 +30,9 @@ SCHEMAS = {
     "depth_charts": _schema(s="gsis_id position depth_team formation club_code", i="season week"),
     "pbp": _schema(i="play_seq season week", s="game_id play_type posteam defteam offense_players defense_players"),
     "slate": _schema(s="slate nickname position injury", d="salary fppg predicted"),
+    "seasonal_stats": _schema(s="player_id season_type", i="season games", d=" ".join(STATS)),
+    "charting": _schema(s="game_id play_type", i="season week play_id"),
+    "snap_counts": _schema(s="player_id game_id", i="week season offensive_snaps defensive_snaps special_teams_snaps total_snaps", d="offensive_snap_pct defensive_snap_pct special_teams_snap_pct"),
     "adp": _schema(s="player", i="adp_rank"),
 }
 PARTICIPATION = ("offense_players", "defense_players")
@@ -59,10 +63,12 @@ class Tables:
         return df.select(*columns) if columns else df
 
     def load_or_empty(self, name: str, *args, **kw) -> DataFrame:
-        """An empty table of the schema where there is none to read yet."""
+        """An empty table of the schema where there is none to read yet; without a schema Spark's error stands."""
         try:
             return self.load(name, *args, **kw)
         except AnalysisException:
+            if name not in SCHEMAS:
+                raise
             return self.spark.createDataFrame([], SCHEMAS[name])
 
     def weekly(self, years) -> DataFrame:
