@@ -59,3 +59,42 @@ def test_redaction(spark):
 def test_empty_and_plan(spark):
     assert P.detect(X.empty(spark)).count() == 0
     assert "Python" not in P.detect(X.docs(spark, ["a"]))._jdf.queryExecution().toString()
+
+
+def test_looser_spans_of_held_out_sentences(spark):
+    """Trees and thresholds against planted truth of other sentences: dates, versions and invoice numbers are among the look-alikes."""
+    made = P.sentences(99, 1200)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in made], "doc_id long, text string")
+    got = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"]] for r in P.detect(docs).collect()}
+    hit, all_, wrong = {}, {}, {}
+    for i, t, places in made:
+        base_spans = [x for x in got[i] if x[0] in P.BASE]
+        for kind, a, b in got[i]:
+            if kind in P.LOOSE:
+                (hit if (a, b) in places else wrong)[kind] = (hit if (a, b) in places else wrong).get(kind, 0) + 1
+        for a, b in places:
+            if not any(x[1] < b and a < x[2] for x in base_spans):
+                all_["found"] = all_.get("found", 0) + any(x[1:] == (a, b) for x in got[i])
+                all_["all"] = all_.get("all", 0) + 1
+    assert sum(hit.values()) >= 0.9 * (sum(hit.values()) + sum(wrong.values())), (hit, wrong)
+    assert all_["found"] >= 0.6 * all_["all"] and set(hit) >= {"email_spoken", "phone_local", "id_number", "iban"}, (all_, hit)
+
+
+def test_context_decides(spark):
+    model, least = P.train(spark)
+    used = set()
+
+    def walk(t):
+        if t.low is not None:
+            used.add(t.feature)
+            walk(t.low), walk(t.high)
+
+    for t in model.trees:
+        walk(t)
+    assert {"personal", "other"} & used
+    texts = ["please call 555-123-4567 now", "see invoice 2023-4471-02 for it", "dated 12.05.2023 there", "ssn 123-45-6789 on file", "version 10.0.19.45 is out"]
+    got = {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in P.detect(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert "phone_local" in got[0] and got[1] == got[2] == [] and "id_number" in got[3] and got[4] == ["ip"]
+    score = lambda before: [r["spans"] for r in P.detect(spark.createDataFrame([(1, before + " 431-555-2177 x")], "doc_id long, text string"), precision=0.01).collect()][0]
+    one, two = score("tel"), score("part")
+    assert max(s["score"] for s in one) > max((s["score"] for s in two), default=0.0)
