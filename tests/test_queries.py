@@ -4,9 +4,10 @@ import os
 
 import pytest
 
-from downfield.plans.oracle import SQL
+from downfield.plans import more, oracle, oracle_more  # noqa: F401
 from downfield.plans.queries import QUERIES
 
+SQL = oracle.SQL | oracle_more.SQL
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="no tables here")
