@@ -53,10 +53,30 @@ def _with_team(team: Column, k: int):
     return lambda x: F.struct(x.alias("player_id"), team.alias("team"), F.lit(k).alias("k"))
 
 
+def player_rows(plays: DataFrame, team_rule: str = "first_posteam") -> DataFrame:
+    """What ``player_counts`` and ``player_teams`` tell, by one explode and one aggregate over the plays."""
+    off, dfn = (S.without_empty(S.players(c, of=plays)) for c in ("offense_players", "defense_players"))
+    cat = S.play_category("play_type")
+    out = plays.select("game_id", "season", "week", "play_seq", "posteam", F.col("defteam" if team_rule == "side" else "posteam").alias("other"), cat.alias("category"), ((cat == "special_teams") | F.col("posteam").isNotNull() | F.col("defteam").isNotNull()).alias("counts"), off.alias("off"), dfn.alias("dfn"))
+    entry = lambda p, side, k, team: F.struct(p.alias("player_id"), F.when(F.col("counts"), side).alias("side"), F.lit(k).alias("k") if isinstance(k, int) else k.alias("k"), team.alias("team"))
+    both = F.concat(F.transform("off", lambda p: entry(p, F.lit("offense"), 0, F.col("posteam"))), F.transform("dfn", lambda p: entry(p, F.lit("defense"), 1, F.col("other"))))
+    mine = lambda p: F.array_contains("off", p)
+    # off scrimmage a player comes once a play, on the offence's side if listed there
+    side = F.when(F.col("category") == "special_teams", F.lit("special_teams"))
+    once = F.transform(F.array_union("off", "dfn"), lambda p: entry(p, side, F.when(mine(p), 0).otherwise(1), F.when(mine(p), F.col("posteam")).otherwise(F.col("other"))))
+    rows = out.select("game_id", "season", "week", "play_seq", F.explode(F.when(F.col("category") == "scrimmage", both).otherwise(once)).alias("p"))
+    order = F.struct("play_seq", "p.k")
+    chosen = F.min_by("p.team", order if team_rule != "side" else F.when(F.col("p.team").isNotNull(), order))
+    counted = {f"{s}_snaps": F.count_if(F.col("p.side") == s).cast("long") for s in SIDES}
+    seen = F.col("p.side").isNotNull()
+    out = rows.groupBy("game_id", F.col("p.player_id").alias("player_id")).agg(F.min(F.when(seen, F.col("season"))).alias("season"), F.min(F.when(seen, F.col("week"))).alias("week"), chosen.alias("team"), *(c.alias(k) for k, c in counted.items()))
+    return out.filter(" + ".join(counted) + " > 0")
+
+
 def snap_counts(plays: DataFrame, team_rule: str = "first_posteam") -> DataFrame:
     """Player counts with totals and percentages of the team's counts (0 where that count is missing)."""
     teams = team_counts(plays).groupBy("game_id", "team").agg(*(F.sum(F.when(F.col("side") == s, F.col("snaps")).otherwise(0)).alias(f"team_{s}") for s in SIDES))
-    out = player_counts(plays).join(player_teams(plays, team_rule), ["game_id", "player_id"], "left").join(teams, ["game_id", "team"], "left")
+    out = player_rows(plays, team_rule).join(teams, ["game_id", "team"], "left")
     share = lambda s: F.when(F.col(f"team_{s}") > 0, F.col(f"{s}_snaps") / F.col(f"team_{s}") * 100).otherwise(0.0)
     names = {"offense": "offensive", "defense": "defensive", "special_teams": "special_teams"}
     return out.select(

@@ -180,3 +180,47 @@ def test_sources_and_sinks(spark, tmp_path):
     assert spark.read.parquet(f"{at}/p").count() == 2
     assert T.cached(spark, f"{at}/q", lambda: df).count() == T.cached(spark, f"{at}/q", lambda: None).count() == 2
     assert T.seasons(2018, 2021) == [2018, 2019, 2020] and T.literal(spark, {"a": [1, 2], "b": ["x", "y"]}).count() == 2
+
+
+def test_player_lists_as_arrays(spark):
+    from pyspark.sql import functions as F
+
+    from downfield.operators import participation as P
+
+    rows = [(1, "2024_01_A_B", 2024, 1, "run", "A", "B", "a;b;;a", "c"), (2, "2024_01_A_B", 2024, 1, "punt", None, None, "a;d", "d;c"), (3, "2024_01_A_B", 2024, 1, "timeout", "B", None, "e", None), (4, "2024_01_A_B", 2024, 1, "pass", None, None, "f", "a")]
+    plays = spark.createDataFrame(rows, "play_seq int, game_id string, season int, week int, play_type string, posteam string, defteam string, offense_players string, defense_players string")
+    arrays = plays.withColumns({c: F.split(c, ";") for c in ("offense_players", "defense_players")})
+    key = lambda df: sorted(map(str, df.collect()))
+    for rule in ("first_posteam", "side"):
+        assert key(P.snap_counts(plays, rule)) == key(P.snap_counts(arrays, rule))
+        counts = {(r["game_id"], r["player_id"]): r for r in P.player_counts(plays).collect()}
+        teams = {(r["game_id"], r["player_id"]): r["team"] for r in P.player_teams(plays, rule).collect()}
+        got = {(r["game_id"], r["player_id"]): r for r in P.player_rows(plays, rule).collect()}
+        assert got.keys() == counts.keys()
+        for k, r in got.items():
+            assert r["team"] == teams[k] and all(r[c] == counts[k][c] for c in ("season", "week", "offense_snaps", "defense_snaps", "special_teams_snaps"))
+
+
+def test_total_orders_by_ranges(spark):
+    from downfield.operators import windows as W
+    from pyspark.sql import functions as F
+
+    df = spark.range(5000).select("id", F.when(F.col("id") % 97 != 0, (F.col("id") * 7919 % 1000).cast("double")).alias("x"))
+    got = {r["id"]: r["rank"] for r in W.ranked(df, "x", "id").collect()}
+    want = sorted(df.collect(), key=lambda r: (r["x"] is None, -(r["x"] or 0), r["id"]))
+    assert got == {r["id"]: i + 1 for i, r in enumerate(want)}
+    up = {r["id"]: r["n"] for r in W.numbered(df, ["x", "id"], "n").collect()}
+    want = sorted(df.collect(), key=lambda r: (r["x"] is not None, r["x"] or 0, r["id"]))
+    assert up == {r["id"]: i + 1 for i, r in enumerate(want)} and W.numbered(df.limit(0), ["x"], "n").count() == 0
+
+
+def test_small_results_only(spark):
+    import pytest
+
+    from downfield.sources import sinks, tables
+
+    assert len(sinks.rows(spark.range(5))) == 5
+    with pytest.raises(ValueError):
+        sinks.rows(spark.range(11), most=10)
+    with pytest.raises(Exception):
+        tables.Tables(spark, "/nowhere").load_or_empty("unknown_table")
