@@ -4,8 +4,9 @@ Every version of every path is addressed by the SHA-256 of its text.  A ledger h
 it was scanned with and what they found.  A run scans each unseen pair once, whatever the number of paths and versions
 that share the blob, appends to the ledger, and joins the findings back to all paths.
 
-Defined results: a null text is the empty blob; repeated rows share a blob and each get its findings; an empty table appends
-nothing; the ledger may be read again after a run that was repeated, since equal pairs are taken once.
+Defined results: a null text is the empty blob; repeated rows share a blob and each get its findings; very long texts are scanned
+whole; spans that tie in their start come in the order of the rules; only the key and the text are read, so other columns clash
+with nothing; an empty table appends nothing; the ledger may be read again after a run that was repeated, since equal pairs are taken once.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, functions as F
 
-from downfield.llm.shared import fresh_path
+from downfield.llm.shared import cut, fresh_path
 from downfield.llm.spans import count, joined, with_matches
 
 #: kind -> (version, pattern, group whose length counts or 0, least length of it), in the order of ties.
@@ -87,8 +88,8 @@ def scan_paths(docs: DataFrame, key: str = "doc_id", text: str = "text", ledger:
     path = ledger or fresh_path(docs.sparkSession, "ledger")
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     versions = docs.select(F.col(key), F.unhex(F.sha2(body, 256)).alias("blob"), body.alias("text"))
-    found = findings(update(versions.select("blob", "text"), path, rules), rules)
-    # a blob that a third of the paths share is a hot key on the small side of no text: the skew join splits it
+    # as a table of its own: of two plain exchanges the skew join splits the paths of a blob that a third of them share
+    found = cut(findings(update(versions.select("blob", "text"), path, rules), rules), "findings")
     return versions.select(key, "blob").join(found, "blob", "left").select(key, F.coalesce("spans", F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")).alias("spans"))
 
 

@@ -6,8 +6,12 @@ A file is a run of blocks, each followed by ``SEPARATOR``.  A block holds whole
     doc ids i64[n_docs] | flags u8[n_docs] (1: id is null, 2: continues the previous block's document)
     ids of each document u32[n_docs] | marks u32[n_marks] | words u64[n_words]
 
-marks[k] is the number of ids before word k * MARK, so that a reader can start at any mark.  The upper four bits of a word
+marks[k] is the number of ids before word k * MARK, so that a reader can start at any mark (see ``read_from``).  The upper four bits of a word
 are its selector; selector 15 says that the next word is one raw 64-bit value (the escape for values of over 60 bits).
+
+Defined results: a null text is empty and has the end id alone; rows of equal doc_id lie together, ordered by text, and repeated
+rows are documents of their own; null ids come first; very long texts go on over several blocks; only doc_id and text are read, so
+other columns clash with nothing; an empty table writes no block.
 """
 
 from __future__ import annotations
@@ -135,6 +139,23 @@ def read_blocks(content: bytes) -> Iterator[tuple[int, list, list, list, np.ndar
         yield shard, parts[0].tolist(), parts[1].tolist(), parts[2].tolist(), unpack(parts[4], n_ids)
 
 
+def read_from(content: bytes, begin: int, n: int) -> np.ndarray:
+    """Ids ``begin`` to ``begin + n`` of a block's content, decoded from the mark before them on and no further than they go."""
+    _, _, n_docs, n_words, n_marks, n_ids = _HEAD.unpack_from(content)
+    at = _HEAD.size + n_docs * (8 + 1 + 4)
+    marks = np.frombuffer(content, np.uint32, n_marks, at)
+    words = np.frombuffer(content, _U, n_words, at + 4 * n_marks)
+    stop = min(begin + n, n_ids)
+    first = max(int(np.searchsorted(marks, begin, side="right")) - 1, 0)
+    last = int(np.searchsorted(marks, stop, side="left"))
+    lead = first * MARK
+    if lead and words[lead - 1] >> _U(60) == ESCAPE and counts_of(words[:lead])[-1] == 0:
+        lead -= 1  # the mark stands between an escape and its raw word
+    part = words[lead : last * MARK + 1]
+    before = int(marks[first]) if n_marks else 0
+    return unpack(part, stop - before)[begin - before :]
+
+
 #: Characters that no normal form changes and on which this module and the library agree about letters, numbers and spaces.
 _UNSURE = re.compile("[^\x00-\u024f\u2010-\u2027\u20ac]")
 _LETTER = "a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u024f"

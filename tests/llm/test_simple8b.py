@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from downfield.llm import simple8b as S
 from tests.llm import fixtures as X
@@ -69,3 +70,18 @@ def test_encoder_on_odd_texts():
     for texts in (odd, odd[::-1], X.AWKWARD[1:]):
         for text, got in zip(texts, e.encode(texts)):
             assert got == np.array(t.encode(text, add_special_tokens=False).ids, np.uint32).tobytes(), text
+
+
+def test_read_from_any_place():
+    r = random.Random(9)
+    v = np.array([r.getrandbits(r.choice((1, 5, 17, 63))) for _ in range(30000)], np.uint64)
+    v[5000:9000] = 1 << 63  # escapes on both sides of marks
+    data = S.block(3, [9, 10], [0, 0], [20000, 10000], v)
+    for begin, n in [(0, 30000), (0, 1), (29999, 1), (4999, 2), (8990, 40)] + [(r.randrange(29000), r.randrange(1, 900)) for _ in range(60)]:
+        assert (S.read_from(data, begin, n) == v[begin : begin + n]).all(), (begin, n)
+
+
+def test_repeated_rows_and_clashing_columns(spark):
+    docs = X.docs(spark, ["a b", "c"]).withColumn("shard", F.lit("x"))
+    got = S.token_table(docs.unionByName(docs), P.path("word_bpe_49k.json")).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == [0, 0, 1, 1] and got[0]["ids_crc32"] == got[1]["ids_crc32"]
