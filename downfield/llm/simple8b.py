@@ -87,7 +87,7 @@ def counts_of(words: np.ndarray) -> np.ndarray:
     """How many values each word yields (0 for an escape's selector word, 1 for its raw word)."""
     table = np.array([*PER_WORD, 0, 0], np.int64)
     sel = (words >> _U(60)).astype(np.int64)
-    raw = np.zeros(len(words), bool)
+    raw = np.zeros(len(words) + 1, bool)  # words may end with a selector whose raw word is not among them
     if (sel == ESCAPE).any():  # a raw word may look like a selector, so walk from escape to escape
         i = 0
         for p in np.flatnonzero(sel == ESCAPE).tolist():
@@ -95,7 +95,7 @@ def counts_of(words: np.ndarray) -> np.ndarray:
                 raw[p + 1] = True
                 i = p + 2
     out = table[sel]
-    out[raw] = 1
+    out[raw[:-1]] = 1
     return out
 
 
