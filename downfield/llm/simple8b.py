@@ -9,7 +9,7 @@ A file is a run of blocks, each followed by ``SEPARATOR``.  A block holds whole
 marks[k] is the number of ids before word k * MARK, so that a reader can start at any mark (see ``read_from``).  The upper four bits of a word
 are its selector; selector 15 says that the next word is one raw 64-bit value (the escape for values of over 60 bits).
 
-Defined results: a null text is empty and has the end id alone; rows of equal doc_id lie together, ordered by text, and repeated
+Defined results: a null text is empty and has the end id alone; rows of equal doc_id lie together, ordered by a hash of the text, and repeated
 rows are documents of their own; null ids come first; very long texts go on over several blocks; only doc_id and text are read, so
 other columns clash with nothing; an empty table writes no block.
 """
@@ -30,6 +30,7 @@ from downfield.llm.shared import cut, fresh_path
 MAGIC, SEPARATOR, MARK = b"DFS8", "\x00DF\n", 128
 #: Ids in a block, about; a longer document goes on in the next block.
 BLOCK_IDS = 1 << 16
+RANGE_BYTES = 256 << 20
 #: selector -> values in a word of 60 bits each side of which are 60 // n bits wide.
 PER_WORD = (60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 ESCAPE = 15
@@ -218,11 +219,18 @@ class Encoder:
         return [self.whole(t) if s is None else b"".join(map(get, s)) for t, s in zip(texts, split)]
 
 
+def _ranges(docs: DataFrame) -> int:
+    """Ranges of about ``RANGE_BYTES`` by the size that Spark knows of the input, and not fewer than it deals by default."""
+    known = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-known // RANGE_BYTES))
+
+
 def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2) -> None:
     """Encode every whole text (null: empty), append ``end_id``, and write the ids in ascending order of doc_id.
 
-    The texts are dealt by ranges of doc_id and each task writes one file, whose shard number follows the ranges.  Equal
-    ids lie in one range, ordered by text; null ids come first; an empty table writes no block.
+    The texts are dealt by ranges of doc_id and each task writes one file, whose shard number follows the ranges.  There are so many
+    ranges that a file stays far below what one read can hold.  Equal ids follow each other by a hash of the text, then the text;
+    null ids come first; an empty table writes no block.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,7 +264,8 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2) -> No
             yield flush()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = rows.withColumn("h", F.xxhash64("text"))  # rows of one id are dealt by it too
+    rows = rows.repartitionByRange(_ranges(docs), "doc_id", "h").sortWithinPartitions("doc_id", "h", "text").drop("h")
     rows.mapInArrow(run, "block binary").select(F.col("block").cast("string").alias("value")).write.option("lineSep", SEPARATOR).text(path)
 
 
