@@ -222,7 +222,8 @@ class Encoder:
 def _ranges(docs: DataFrame) -> int:
     """Ranges of about ``RANGE_BYTES`` by the size that Spark knows of the input, and not fewer than it deals by default."""
     known = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-known // RANGE_BYTES))
+    default = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(default, -(-known // RANGE_BYTES)) if known < 1 << 60 else default  # a size that large stands for one that isn't known
 
 
 def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2) -> None:
