@@ -7,6 +7,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from downfield.operators.windows import quantiles
+
 
 @dataclass
 class Scaler:
@@ -39,7 +41,18 @@ def zscore_scaler(df: DataFrame, columns: Sequence[str]) -> Scaler:
 
 def robust_scaler(df: DataFrame, columns: Sequence[str]) -> Scaler:
     """Exact median and interquartile range."""
-    return _scaler(df, columns, lambda c: F.percentile(c, F.lit(0.5)), lambda c: F.percentile(c, F.lit(0.75)) - F.percentile(c, F.lit(0.25)))
+    found = {c: quantiles(df, c, (0.25, 0.5, 0.75)).first() for c in columns}
+    return Scaler({c: r["q1"] if r else 0.0 for c, r in found.items()}, {c: r["q2"] - r["q0"] if r else 1.0 for c, r in found.items()})
+
+
+def robust_scaled(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Scaling by exact medians and interquartile ranges in one lazy plan."""
+    out = df
+    for i, c in enumerate(columns):
+        one = quantiles(df, c, (0.25, 0.5, 0.75)).select(F.col("q1").alias(f"__m{i}"), (F.col("q2") - F.col("q0")).alias(f"__s{i}"))
+        out = out.join(F.broadcast(one), how="left")  # one row
+    value = lambda i, c: (F.col(c) - F.col(f"__m{i}")) / F.when(F.col(f"__s{i}") == 0, 1.0).otherwise(F.col(f"__s{i}"))
+    return out.withColumns({c: value(i, c) for i, c in enumerate(columns)}).select(*df.columns)
 
 
 def scaled(df: DataFrame, columns: Sequence[str], centre, scale) -> DataFrame:

@@ -7,6 +7,8 @@ from itertools import combinations_with_replacement
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from downfield.operators.windows import quantiles
+
 
 def usage(lineups: DataFrame, player: str = "nickname", lineup: str = "lineup_id") -> DataFrame:
     """Appearances of each player and their percentage of the lineups that exist."""
@@ -62,8 +64,10 @@ def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def box_stats(df: DataFrame, value: str, by: str) -> DataFrame:
-    q = F.percentile(value, F.array(*(F.lit(x) for x in (0.25, 0.5, 0.75))))
-    return df.groupBy(by).agg(F.min(value).alias("low"), q[0].alias("q1"), q[1].alias("median"), q[2].alias("q3"), F.max(value).alias("high"))
+    """Extremes and exact quartiles of each group."""
+    ends = df.groupBy(by).agg(F.min(value).alias("low"), F.max(value).alias("high"))
+    q = quantiles(df, value, (0.25, 0.5, 0.75), by).withColumnRenamed(by, "__by")
+    return ends.join(q, F.col(by).eqNullSafe(F.col("__by")), "left").select(by, "low", F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3"), "high")
 
 
 def histogram(df: DataFrame, value: str, width: float) -> DataFrame:

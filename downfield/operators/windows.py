@@ -62,6 +62,30 @@ def numbered(df: DataFrame, order: Sequence, name: str = "number", by: str | Non
     return cut.withColumn("__k", within).join(F.broadcast(before), "__range").withColumn(name, (F.col("__before") + F.col("__k")).cast("long")).drop("__range", "__k", "__before")
 
 
+def quantiles(df: DataFrame, value: str, shares: Sequence[float], by: str | None = None) -> DataFrame:
+    """Exact quantiles q0, q1, ... with linear interpolation, of all rows or by a column; nulls drop out.
+
+    Distinct values are counted first, so that frequent ones are one row; approximate quantiles cut them into ranges, and places are
+    running sums within a range after the sums of the ranges before it, so that no task and no buffer holds all values of a group.
+    """
+    group = F.lit(0) if by is None else F.col(by)
+    counts = df.filter(F.col(value).isNotNull()).groupBy(group.alias("__g"), F.col(value).cast("double").alias("__v")).agg(F.count("*").alias("__c"))
+    cuts = counts.agg(F.percentile_approx("__v", [k / RANGES for k in range(1, RANGES)], RANGE_ACCURACY).alias("__cuts"))
+    ranged = counts.crossJoin(F.broadcast(cuts)).withColumn("__range", F.expr("coalesce(size(filter(__cuts, c -> c <= __v)), 0)")).drop("__cuts")
+    sums = ranged.groupBy("__g", "__range").agg(F.sum("__c").alias("__s"))  # a row for each range of a group
+    before = sums.select("__g", "__range", F.coalesce(F.sum("__s").over(Window.partitionBy("__g").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"), F.sum("__s").over(Window.partitionBy("__g")).alias("__n"))
+    upto = F.sum("__c").over(Window.partitionBy("__g", "__range").orderBy("__v"))
+    placed = ranged.withColumn("__upto", upto).join(before, ["__g", "__range"]).withColumn("__upto", F.col("__upto") + F.col("__before"))
+    out = []
+    for i, p in enumerate(shares):
+        at = F.lit(p) * (F.col("__n") - 1)
+        holds = lambda k: F.max(F.when((k < F.col("__upto")) & (k >= F.col("__upto") - F.col("__c")), F.col("__v")))
+        out += [holds(F.floor(at)).alias(f"__l{i}"), holds(F.ceil(at)).alias(f"__h{i}"), F.max(at - F.floor(at)).alias(f"__f{i}")]
+    found = placed.groupBy("__g").agg(*out)
+    values = [((1 - F.col(f"__f{i}")) * F.col(f"__l{i}") + F.col(f"__f{i}") * F.col(f"__h{i}")).alias(f"q{i}") for i in range(len(shares))]
+    return found.select(*([] if by is None else [F.col("__g").alias(by)]), *values)
+
+
 def ranked(df: DataFrame, by: str, *ties: str, name: str = "rank") -> DataFrame:
     """Place in a stable descending sort: equal values keep the order of the ties."""
     return numbered(df, [F.desc_nulls_last(by), *ties], name, by, descending=True)

@@ -469,8 +469,7 @@ def zscore(spark, d):
 
 @query
 def robust_scale(spark, d):
-    q = lambda p: lambda c: F.percentile(c, F.lit(p))
-    return features.scaled(t(spark, d, "events").select("event_id", "value"), ["value"], q(0.5), lambda c: q(0.75)(c) - q(0.25)(c)).select("event_id", E6("value").alias("value"))
+    return features.robust_scaled(t(spark, d, "events").select("event_id", "value"), ["value"]).select("event_id", E6("value").alias("value"))
 
 
 @query

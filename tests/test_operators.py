@@ -224,3 +224,17 @@ def test_small_results_only(spark):
         sinks.rows(spark.range(11), most=10)
     with pytest.raises(Exception):
         tables.Tables(spark, "/nowhere").load_or_empty("unknown_table")
+
+
+def test_exact_quantiles(spark):
+    import numpy as np
+    from downfield.operators import features as X, windows as W
+    from pyspark.sql import functions as F
+
+    df = spark.range(3001).select("id", (F.col("id") % 3).alias("g"), F.when(F.col("id") % 5 != 0, F.when(F.col("id") % 2 == 0, 7.5).otherwise(F.col("id") * 31 % 997 / 3)).alias("x"))
+    rows = [(r["g"], r["x"]) for r in df.collect() if r["x"] is not None]
+    shares = (0.0, 0.1, 0.25, 0.5, 0.9, 1.0)
+    for g, got in [(None, W.quantiles(df, "x", shares).first())] + [(r["g"], r) for r in W.quantiles(df, "x", shares, "g").collect()]:
+        want = np.percentile([x for h, x in rows if g is None or g == h], [100 * p for p in shares])
+        assert np.allclose([got[f"q{i}"] for i in range(len(shares))], want)
+    assert W.quantiles(df.limit(0), "x", shares).count() == 0 and X.robust_scaler(df.limit(0), ["x"]).scale == {"x": 1.0}
