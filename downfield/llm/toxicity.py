@@ -142,10 +142,12 @@ def choose_features(rows: DataFrame) -> list[int]:
     share = max(n1, 1) / max(n1 + n0, 1)
     least = max(2.0, LEAST_G / (2 * max(-math.log(share), 1e-9)))
     of = rows.filter("toxic = 1").select("text").mapInArrow(in_toxic, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    ones = of.toPandas()  # bounded by the number of examples
-    if not len(ones):
+    ones = of.toArrow()  # bounded by the number of examples; never as Python objects
+    if not ones.num_rows:
         return []
-    keys = np.sort(ones["h"].to_numpy().astype(np.int64).view(_U))
+    hashes = ones.column("h").to_numpy().view(_U)
+    order = np.argsort(hashes)
+    keys, toxic = hashes[order], ones.column("n").to_numpy()[order].astype(float)
     shared = rows.sparkSession.sparkContext.broadcast(Features(keys.view(np.int64)))
 
     def in_others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,11 +160,9 @@ def choose_features(rows: DataFrame) -> list[int]:
         yield pa.record_batch({"f": pa.array(on.astype(np.int32)), "n": pa.array(n[on])})
 
     others = np.zeros(len(keys))
-    got = rows.filter("toxic = 0").select("text").mapInArrow(in_others, "f int, n long").groupBy("f").agg(F.sum("n").alias("n")).toPandas()
-    others[got["f"].to_numpy().astype(int)] = got["n"]
+    got = rows.filter("toxic = 0").select("text").mapInArrow(in_others, "f int, n long").groupBy("f").agg(F.sum("n").alias("n")).toArrow()
+    others[got.column("f").to_numpy()] = got.column("n").to_numpy()
     shared.unpersist()
-    order = np.argsort(ones["h"].to_numpy().astype(np.int64).view(_U))
-    toxic = ones["n"].to_numpy().astype(float)[order]
     n = toxic + others
     lift = ((toxic + 0.5) / (n1 + 1)) / ((others + 0.5) / (n0 + 1))
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -317,12 +317,14 @@ def fit(docs: DataFrame, labels: DataFrame, most_examples: int = MAX_EXAMPLES) -
                 lists = lambda v: pa.ListArray.from_arrays(pa.array(cutpoints.astype(np.int32)), pa.array(v.astype(np.int32)))
                 yield pa.record_batch([part.column("doc_id"), part.column("toxic"), lists(f), lists(n)], names=["doc_id", "toxic", "f", "n"])
 
-    got = rows.select("doc_id", "toxic", "text").mapInArrow(vectors, "doc_id long, toxic int, f array<int>, n array<int>").collect()  # bounded by the examples
-    got.sort(key=lambda r: (r["doc_id"], r["f"], r["n"]))
+    got = rows.select("doc_id", "toxic", "text").mapInArrow(vectors, "doc_id long, toxic int, f array<int>, n array<int>").toArrow().combine_chunks()  # bounded by the examples
+    ids, toxic = got.column("doc_id").to_pylist(), got.column("toxic").to_pylist()
+    lists = [[x.values.to_numpy().astype(np.int32) for x in got.column(c)] for c in ("f", "n")]
+    order = sorted(range(len(ids)), key=lambda i: (ids[i], lists[0][i].tobytes(), lists[1][i].tobytes()))
     discard(rows)
     n, df = document_frequencies(docs, features)
     idf = np.log((1 + n) / (1 + df)) + 1
-    return Model(features, idf, [r["doc_id"] for r in got], np.array([r["toxic"] for r in got], int), [(np.array(r["f"], int), np.array(r["n"], int)) for r in got], share)
+    return Model(features, idf, [ids[i] for i in order], np.array([toxic[i] for i in order], int), [(lists[0][i], lists[1][i]) for i in order], share)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", evidence: bool = False) -> DataFrame:
