@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from downfield.llm.shared import cut, discard
+from downfield.llm.shared import cut, discard, tidy
 
 ROUNDS = 60
 
@@ -33,5 +33,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         before = state
     else:
         raise RuntimeError(f"no stable components after {ROUNDS} rounds")
+    tidy(edges.sparkSession)
     nodes = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

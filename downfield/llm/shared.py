@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -63,6 +64,15 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let the driver collect what finished executions left in its memory: broadcasts and plans.
+
+    Operators of many small executions would grow the driver's heap with them otherwise.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def discard(*cuts: DataFrame) -> None:
     """Remove the files of cuts that nothing will read again."""
     for df in cuts:
