@@ -49,19 +49,18 @@ def pack(values: np.ndarray) -> np.ndarray:
     if not n:
         return np.zeros(0, _U)
     width = _WIDTHS[np.searchsorted(_LIMITS, v, side="right")]
-    take = np.ones(n, np.int64)  # escapes too take one value
-    pick = np.full(n, ESCAPE, np.int64)
+    # widest[j][i]: the most of 2 ** j widths from i on; past the end there is padding, which always fits
+    widest = [np.concatenate((width, np.zeros(60, np.uint8)))]
+    for j in range(5):
+        last = widest[-1]
+        widest.append(np.maximum(last, np.concatenate((last[1 << j :], np.zeros(1 << j, np.uint8)))))
+    pick = np.full(n, ESCAPE, np.uint8)
     for s in range(len(PER_WORD) - 1, -1, -1):
         k = PER_WORD[s]
-        fits = np.ones(n + 60, bool)  # past the end there is padding, which always fits
-        fits[:n] = width <= 60 // k
-        have = 1
-        while have < k:  # fits[i]: so do the next ``have`` values
-            step = min(have, k - have)
-            fits[:-step] &= fits[step:]
-            have += step
-        fits = fits[:n]
-        take[fits], pick[fits] = k, s
+        j = k.bit_length() - 1
+        most = np.maximum(widest[j][:n], widest[j][k - (1 << j) : k - (1 << j) + n])
+        np.putmask(pick, most <= 60 // k, s)
+    take = np.array([*PER_WORD, 1, 1])[pick]  # escapes too take one value
     starts, i, step = [], 0, take.tolist()
     while i < n:
         starts.append(i)
@@ -161,12 +160,13 @@ def read_from(content: bytes, begin: int, n: int) -> np.ndarray:
 _UNSURE = re.compile("[^\x00-\u024f\u2010-\u2027\u20ac]")
 _LETTER = "a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u024f"
 _NUMBER = "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
-_PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^\t-\r \x85\xa0{_LETTER}{_NUMBER}]+")
+#: The letters stand first, as most parts begin with one and no other alternative does.
+_PARTS = re.compile(f"[{_LETTER}]+|'s|'t|'re|'ve|'m|'ll|'d|[{_NUMBER}]|[^\t-\r \x85\xa0{_LETTER}{_NUMBER}]+")
 _ENDS = "</w>"
 
 
 class Encoder:
-    """A tokenizers file of lower-cased words with word ends, each different word of plain texts encoded once while the cache lasts.
+    """A tokenizers file of lower-cased words with word ends, each different word of plain texts encoded once while the cache, or the one before it, lasts.
 
     The library encodes the words, many in one call, and the ids are cut after each word's end.  A text with characters
     beyond the plain ones, or with what may be a special token, goes to the library as a whole.
@@ -184,7 +184,7 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache = Tokenizer.from_file(path), {}
+        self.tokenizer, self.cache, self.old = Tokenizer.from_file(path), {}, {}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith(_ENDS)]] = True
@@ -210,11 +210,13 @@ class Encoder:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         split = [None if "<|" in t or not t.isascii() and _UNSURE.search(t) else _PARTS.findall(t.lower()) for t in texts]
         known = [s for s in split if s is not None]
-        new = set().union(*known) - self.cache.keys()
-        if len(self.cache) + len(new) > self.CACHE:  # memory stays bounded; what was dropped is encoded again when it is met
-            self.cache = {}
-            new = set().union(*known)
-        self.learn(list(new))
+        met = set().union(*known)
+        new = met - self.cache.keys()
+        if len(self.cache) + len(new) > self.CACHE:  # memory stays bounded; what is met in neither of the last two caches is encoded again
+            self.old, self.cache, new = self.cache, {}, met
+        known_before = new & self.old.keys()
+        self.cache.update((w, self.old[w]) for w in known_before)
+        self.learn(list(new - known_before))
         get = self.cache.__getitem__
         return [self.whole(t) if s is None else b"".join(map(get, s)) for t, s in zip(texts, split)]
 

@@ -85,3 +85,14 @@ def test_repeated_rows_and_clashing_columns(spark):
     docs = X.docs(spark, ["a b", "c"]).withColumn("shard", F.lit("x"))
     got = S.token_table(docs.unionByName(docs), P.path("word_bpe_49k.json")).orderBy("start").collect()
     assert [r["doc_id"] for r in got] == [0, 0, 1, 1] and got[0]["ids_crc32"] == got[1]["ids_crc32"]
+
+
+def test_words_of_the_cache_before_are_not_encoded_again(monkeypatch):
+    encoder, learned = S.Encoder(P.path("word_bpe_49k.json")), []
+    monkeypatch.setattr(encoder, "CACHE", 10)
+    learn = encoder.learn
+    monkeypatch.setattr(encoder, "learn", lambda words: (learned.extend(words), learn(words)))
+    texts = [f"common words {' '.join('abcdefg'[k] * n for n in range(2, 8))}" for k in range(5)]
+    for t in texts:
+        assert encoder.encode([t]) == [encoder.whole(t)]
+    assert learned.count("common") == learned.count("words") == 1 and len(encoder.cache) <= 10
