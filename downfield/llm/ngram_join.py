@@ -3,7 +3,7 @@
 Texts with equal shingle sets are one node.  Sets that link share a token in prefixes of n - ceil(t n) + 1 tokens of any one
 order of all tokens (hashed shingles), so a node of which more than n - ceil(t n) tokens are its own links with nothing.
 
-1. Of each node, the tokens of a fixed share ``FIRST`` of the hash space are counted; nodes with too many tokens of their own
+1. Of each node, the tokens of a fixed share ``FIRST`` of the hash space are counted, in ``PASSES`` passes; nodes with too many tokens of their own
    among them end here.  What the others lose by that only makes more tokens single: the rest is a question among the rest.
 2. The nodes left are checked against the leader of their ``SKETCH`` least tokens that they share most of, so that groups of
    near copies are components before any keys are made.
@@ -24,6 +24,7 @@ text are read, so other columns clash with nothing.  Sets are compared by 64-bit
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +36,10 @@ from downfield.llm.shared import bounded_batches, cut, discard
 
 WORDS, SIMILARITY = 5, (3, 4)
 FIRST, FREQUENT, SKETCH = 0.35, 64, 8
+#: Passes that count the tokens of that share, each its part of it, so that less lies on disk at once.
+PASSES = 2
 BITS = tuple(f"bits{i}" for i in range(8))
-_LIMIT = np.uint64(int(FIRST * 2**64))
+_LIMITS = [np.uint64(int(FIRST * k / PASSES * 2**64)) for k in range(PASSES + 1)]
 _U = np.uint64
 _I = np.int64
 
@@ -87,8 +90,9 @@ def nodes_of(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, node long, n long")
 
 
-def first_tokens(docs: DataFrame) -> DataFrame:
-    """token and node for the first share of the hash space, a node once for each task that meets it."""
+def first_tokens(docs: DataFrame, turn: int) -> DataFrame:
+    """token and node for a pass's part of the first share of the hash space, a node once for each task that meets it."""
+    least, limit = _LIMITS[turn : turn + 2]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
@@ -101,7 +105,7 @@ def first_tokens(docs: DataFrame) -> DataFrame:
                     if k not in met:
                         met.add(k)
                         fresh[i] = True
-                on = np.flatnonzero(fresh[s.row] & (s.hash < _LIMIT))
+                on = np.flatnonzero(fresh[s.row] & (s.hash >= least) & (s.hash < limit))
                 yield pa.record_batch({"token": pa.array(s.hash[on].view(_I)), "node": pa.array(s.node[s.row[on]])})
 
     return docs.select("text").mapInArrow(run, "token long, node long")
@@ -260,8 +264,11 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     nodes = cut(nodes_of(docs), "nodes")
-    own = first_tokens(docs).groupBy("token").agg(F.min("node").alias("node"), F.max("node").alias("last")).filter("node = last")
-    own = cut(own.groupBy("node").agg(F.count("*").alias("own")), "own-tokens")
+    counts = []
+    for turn in range(PASSES):
+        own = first_tokens(docs, turn).groupBy("token").agg(F.min("node").alias("node"), F.max("node").alias("last")).filter("node = last")
+        counts.append(cut(own.groupBy("node").agg(F.count("*").alias("own")), "own-tokens"))
+    own = reduce(DataFrame.unionByName, counts).groupBy("node").agg(F.sum("own").alias("own"))
     # sets of one or two tokens link with equal ones only
     size = nodes.filter("n > 2").groupBy("node", "n").agg(F.min("doc_id").alias("rep"))
     alive = size.join(own, "node", "left").filter(f"coalesce(own, 0) <= n - ceil(n * {SIMILARITY[0]} / {SIMILARITY[1]})")
@@ -273,7 +280,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     keys = exact_keys(sets, comps)
     more = cut(verify(leader_pairs(keys, comps), sets), "links")
     edges = edges.unionByName(more)
-    discard(comps, own)
+    discard(comps, *counts)
     comps = cut(components(edges), "components")
     edges = edges.unionByName(cut(verify(cross_pairs(keys, comps), sets), "links"))
     discard(keys, sets, comps)

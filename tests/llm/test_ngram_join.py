@@ -81,3 +81,15 @@ def test_components_of_random_graphs(spark):
     got = C.components(spark.createDataFrame(edges, "a long, b long")).collect()
     assert {x["node"]: x["component"] for x in got} == want and len(got) == len(want)
     assert C.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_first_tokens_are_counted_in_parts(spark):
+    """Each token of the first share of the hash space comes in one pass, and no pass has most of them."""
+    docs = spark.createDataFrame([(k, " ".join(X.words(200, k, 3000))) for k in range(40)], "doc_id long, text string")
+    seen = [{(r["token"], r["node"]) for r in N.first_tokens(docs, turn).collect()} for turn in range(N.PASSES)]
+    raw = [t.encode() for _, t in docs.collect()]
+    s = N.Sets(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    on = s.hash < np.uint64(int(N.FIRST * 2**64))
+    want = set(zip(s.hash[on].view(np.int64).tolist(), s.node[s.row[on]].tolist()))
+    assert set().union(*seen) == want and sum(map(len, seen)) == len(want)
+    assert max(map(len, seen)) < 0.6 * len(want)
