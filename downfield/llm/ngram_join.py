@@ -36,7 +36,7 @@ from downfield.llm.shared import bounded_batches, cut, discard
 
 WORDS, SIMILARITY = 5, (3, 4)
 FIRST, FREQUENT, SKETCH = 0.35, 64, 8
-#: Passes that count the tokens of that share, each its part of it, so that less lies on disk at once.
+#: Passes that count the tokens of that share, and later those of the nodes left, each its part of them, so that less lies on disk at once.
 PASSES = 2
 BITS = tuple(f"bits{i}" for i in range(8))
 _LIMITS = [np.uint64(int(FIRST * k / PASSES * 2**64)) for k in range(PASSES + 1)]
@@ -195,11 +195,16 @@ def exact_keys(sets: DataFrame, comps: DataFrame) -> DataFrame:
     each = sets.select("node", "n", F.explode("hashes").alias("token"))
     entries = each.join(comps, "node", "left").select("token", "node", "n", F.coalesce("component", "node").alias("c"))
     # counts of pre-aggregated distinct pairs, then a join of plain exchanges: a token of a third of the nodes is split
-    often = cut(entries.select("token", "c").distinct().groupBy("token").agg(F.count("*").alias("df")).filter("df > 1").select("token", (F.col("df") > FREQUENT).alias("frequent")), "tokens")
-    shared = each.join(often, "token")
+    parts = []
+    for turn in range(PASSES):
+        of, mine = (df.filter(F.pmod("token", F.lit(PASSES)) == turn) for df in (entries, each))
+        often = cut(of.select("token", "c").distinct().groupBy("token").agg(F.count("*").alias("df")).filter("df > 1").select("token", (F.col("df") > FREQUENT).alias("frequent")), "tokens")
+        parts.append(cut(mine.join(often, "token"), "shared-tokens"))
+        discard(often)
+    shared = reduce(DataFrame.unionByName, parts)
     lists = shared.groupBy("node", "n").agg(*(F.collect_list(F.when(x, F.col("token"))).alias(c) for c, x in (("rare", ~F.col("frequent")), ("often", F.col("frequent")))))  # at most a text's own tokens
     out = cut(lists.mapInArrow(keys, "key long, node long, n long, left long, room long, " + ", ".join(f"{b} long" for b in BITS)), "keys")
-    discard(often)
+    discard(*parts)
     return out
 
 

@@ -3,7 +3,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from downfield.llm import components as C, ngram_join as N
+from downfield.llm import components as C, ngram_join as N, shared as S
 from tests.llm import brute, fixtures as X
 
 
@@ -93,3 +93,35 @@ def test_first_tokens_are_counted_in_parts(spark):
     want = set(zip(s.hash[on].view(np.int64).tolist(), s.node[s.row[on]].tolist()))
     assert set().union(*seen) == want and sum(map(len, seen)) == len(want)
     assert max(map(len, seen)) < 0.6 * len(want)
+
+
+def test_tokens_of_nodes_left_are_counted_in_parts(spark, monkeypatch):
+    """Each part holds the tokens of its own, so that a part's exchanges alone lie on disk."""
+    parts, cut = [], N.cut
+
+    def spied(df, label):
+        out = cut(df, label)
+        if label == "tokens":
+            parts.append({r["token"] for r in out.collect()})
+        return out
+
+    monkeypatch.setattr(N, "cut", spied)
+    r, rows = random.Random(4), []
+    for k in range(40):
+        w = X.words(60, k % 8, 3000)
+        w[r.randrange(60)] = f"edit{k}"
+        rows.append((k, " ".join(w)))
+    got = sorted(tuple(x) for x in N.join_components(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted(brute.components(rows))
+    assert len(parts) == N.PASSES > 1 and all(t % N.PASSES == turn for turn, p in enumerate(parts) for t in p)
+
+
+def test_a_full_heap_is_tidied(spark, monkeypatch):
+    """The driver lets go of finished executions once its heap is in use beyond a share."""
+    done = []
+    monkeypatch.setattr(S, "tidy", done.append)
+    S.discard(S.cut(spark.range(3), "test-heap"))
+    assert not done
+    monkeypatch.setattr(S, "FULL", 0.0)
+    S.discard(S.cut(spark.range(3), "test-heap"))
+    assert done == [spark]
