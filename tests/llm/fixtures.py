@@ -1,7 +1,10 @@
 """Rows with the awkward cases: nulls, empty and long texts, ties, repeats, and extra columns whose names clash."""
 
+import os
 import random
 
+from downfield.llm.shared import shared_dir
+
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words long, hits string, text_ string"
 
 
@@ -20,3 +23,9 @@ def empty(spark):
 
 
 AWKWARD = [None, "", " ", "\n\n", "one", "a b c d", "\x00\x0b tab\tline\r\nend", "é" * 50, "no id", "same text twice here", "same text twice here", "x" * 5000, " ".join(words(20000, 5, 50)), "\U0001f600 emoji \U0001f600", "1 2 3 4 5 6 7 8 9 10 11 12"]
+
+
+def written(spark):
+    """Names of the tables that lie in the shared folder by now."""
+    path = shared_dir(spark).removeprefix("file://")
+    return os.listdir(path) if os.path.isdir(path) else []
